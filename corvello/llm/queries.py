@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import language_id
+from corvello.llm import language_id, warc
 from corvello.llm.common import fold, table
 
 
@@ -15,8 +15,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, langs, profiles, ["doc_id", "held_out"])
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (SELECT page_id, n, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i * 5 + 1)::INT, 5))::INT >> (15 - 5 * j)::INT) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS digest FROM p),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS winner FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
+        FROM w
+    """,
+}
