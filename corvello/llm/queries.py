@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import language_id, warc
+from corvello.llm import language_id, packing, warc
 from corvello.llm.common import fold, table
 
 
@@ -15,12 +15,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, langs, profiles, ["doc_id", "held_out"])
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op5_packing": op5_packing,
     "op9_warc": op9_warc,
 }
 
