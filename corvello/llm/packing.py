@@ -33,7 +33,7 @@ ROWS_A_BUCKET = 50_000
 CACHE_ENTRIES = 500_000
 
 #: White space other than blank, tab and line ends: whether the tokenizer's library takes it as such is left to it.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -‏ -  ⁠　﻿]")
+_ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 #: A run of Latin letters (whose lower case has as many letters) is one word to the tokenizer, and so is a run of this punctuation.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|$%&#*]*)")
 
