@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import language_id, packing, warc
+from corvello.llm import decontaminate, language_id, packing, warc
 from corvello.llm.common import fold, table
 
 
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
@@ -32,10 +36,31 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_packing": op5_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": r"""
+        WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM win),
+        grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, item_id, i, n FROM grams JOIN win USING (n, g)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + any_value(n) AS b FROM (
+            SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY i) AS run FROM (
+                SELECT h.doc_id, h.item_id, h.i, h.n, h.i - o.o AS d FROM hits h JOIN grams g USING (doc_id, i, n) JOIN (
+                    SELECT item_id, o, least(10, len(w)) AS n, array_to_string(w[o:o + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS o FROM bw WHERE len(w) > 0)) o ON o.item_id = h.item_id AND o.n = h.n AND o.g = g.g))
+            GROUP BY doc_id, item_id, d, run),
+        best AS (SELECT doc_id, max(b - a) AS longest, arg_min(a, (a - 1000000 * (b - a))) AS a FROM runs GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match, (a - 1)::BIGINT AS longest_start
+        FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         d AS (SELECT page_id, n, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
