@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import decontaminate, language_id, neardup, packing, warc
+from corvello.llm import decontaminate, language_id, neardup, packing, toxicity, warc
 from corvello.llm.common import fold, table
 
 
@@ -15,6 +15,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, langs, profiles, ["doc_id", "held_out"])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
+    return toxicity.scores(docs, toxicity.train(docs.where("NOT held_out"), labels), ["doc_id", "held_out"]).drop("spans")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -39,6 +45,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
     "op7_decontamination": op7_decontamination,
