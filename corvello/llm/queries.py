@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import decontaminate, language_id, neardup, packing, toxicity, warc
+from corvello.llm import ann, decontaminate, language_id, neardup, packing, toxicity, warc
 from corvello.llm.common import fold, table
 
 
@@ -15,6 +15,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, langs, profiles, ["doc_id", "held_out"])
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
@@ -45,6 +50,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_hnsw": op2_hnsw,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
