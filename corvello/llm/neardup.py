@@ -53,6 +53,12 @@ class _WordHashes(dict):
         return value
 
 
+@lru_cache(1)
+def _hashes() -> _WordHashes:
+    """One for all tasks that a worker runs."""
+    return _WordHashes()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -85,7 +91,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
+    hashes = _hashes()
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
@@ -116,7 +122,7 @@ def _alike(a, b):
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, b, text) in order: a leader's own text (b is null), then its members' texts."""
-    hashes, leader, own = _WordHashes(), None, None
+    hashes, leader, own = _hashes(), None, None
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             found = []
