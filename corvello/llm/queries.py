@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import ann, decontaminate, language_id, neardup, packing, toxicity, warc
+from corvello.llm import ann, decontaminate, language_id, neardup, packing, pii, toxicity, warc
 from corvello.llm.common import fold, table
 
 
@@ -48,6 +48,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_hnsw": op2_hnsw,
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_decontamination": op7_decontamination,
     "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
