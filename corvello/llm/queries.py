@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import ann, decontaminate, language_id, neardup, packing, pii, toxicity, warc
+from corvello.llm import ann, chat_tools, decontaminate, language_id, neardup, packing, pii, toxicity, warc
 from corvello.llm.common import fold, table
 
 
@@ -20,6 +20,10 @@ def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
@@ -55,6 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_hnsw": op2_hnsw,
+    "op3_tool_calls": op3_tool_calls,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
@@ -64,6 +69,12 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # The table's messages are plain content; tests/llm covers calls, results and schemas.
+    "op3_tool_calls": """
+        SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_valid, NULL::INT AS level,
+            json_object('content', text, 'role', role)::VARCHAR AS message
+        FROM conversations
+    """,
     "op7_decontamination": r"""
         WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
