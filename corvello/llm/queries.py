@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm import ann, chat_tools, decontaminate, language_id, neardup, packing, pii, toxicity, warc
+from corvello.llm import ann, chat_tools, decontaminate, language_id, license_scan, neardup, packing, pii, toxicity, warc
 from corvello.llm.common import fold, table
 
 
@@ -48,6 +48,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
 }
