@@ -1,19 +1,63 @@
-"""The corpus pipeline: stages over the table documents, each written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: stages over the table documents, each written as Parquet and read again as the next one's docs.
+
+A stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvello.llm import decontaminate, language_id, neardup, packing, pii
+from corvello.llm.common import discard, fold, materialise, table
+from corvello.llm.queries import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told; those without text or letters go.  lang stays as it was."""
+    langs, profiles = language_id.prototypes(docs.where(fold("doc_id", 4) != 2))
+    return language_id.identify(docs, langs, profiles).where("lang_pred <> 'und'").drop("lang_pred", "score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group; rows without doc_id are in no group and stay."""
+    ids = materialise(neardup.groups(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    kept = docs.join(ids.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if ids.where("n > 1").limit(1).count():  # repeated rows of one doc_id: one stays
+        kept = kept.unionByName(docs.join(ids.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; n_chars is that of the new text."""
+    return pii.masked(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack(docs, tokenizer_path())
 
-from corvello.llm.common import materialise
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
 
 #: SQL can express neither hyperdimensional profiles nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
