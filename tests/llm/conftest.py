@@ -1,29 +1,9 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from pyspark.sql import SparkSession
-
-    session = (
-        SparkSession.builder.master("local[4]").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-
 
 @pytest.fixture(scope="session")
 def documents():
-    """Rows (doc_id, text, lang, source, n_chars) of the smallest fixture."""
+    """Rows of the smallest fixture's documents."""
     import pyarrow.parquet as pq
 
     return pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
-
-
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
