@@ -69,9 +69,10 @@ def lexicon(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, bool]:
     """For words of toxic documents whether they are toxic, by the longest of their beginnings that tells."""
     n, m = len(toxic), len(clean)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for count, docs in zip(counts, (toxic, clean), strict=True):
-        for doc in docs:
-            count.update({f for w in doc for f in beginnings(w)})
+    for doc in toxic:
+        counts[0].update({f for w in doc for f in beginnings(w)})
+    for doc in clean:  # only what toxic documents have is ever asked for
+        counts[1].update({f for w in doc for f in beginnings(w) if f in counts[0]})
 
     marked: dict[str, bool | None] = {}
 
@@ -184,17 +185,16 @@ def _chain(types: np.ndarray, gold: np.ndarray, feats: np.ndarray) -> Model:
 
 def fit(sample: list[tuple[str, int]]) -> Model:
     """A model from labelled texts: two thirds make lexicon and chain, one third the curve."""
-    docs = [(words(text), int(label == 1)) for text, label in sample]
+    one: dict[str, str] = {}  # a single object for each word, which keeps the sample small
+    docs = [([one.setdefault(w, w) for w in map(str.lower, words(text))], int(label == 1)) for text, label in sample]
     learn, hold = [d for k, d in enumerate(docs) if k % 3], docs[::3]
-    sets = [({w.lower() for w in ws}, y) for ws, y in learn]
-    toxic, clean = [s for s, y in sets if y], [s for s, y in sets if not y]
+    toxic, clean = ([set(ws) for ws, y in learn if y == label] for label in (1, 0))
     if not toxic or not clean or not 0 < sum(y for _, y in hold) < len(hold):
         return Model()
     marks = lexicon(toxic, clean)
     numbers: dict[str, int] = {}
     rows, gold = [], []
-    for k, (ws, y) in enumerate(learn):
-        low = [w.lower() for w in ws]
+    for k, (low, y) in enumerate(learn):
         bad = [y == 1 and marks.get(w, False) for w in low]
         starts = [max(0, i - WINDOW // 2) for i, b in enumerate(bad) if b] if any(bad) else [] if y else [zlib.crc32(str(k).encode()) % max(1, len(low) - WINDOW)]
         if not y:  # words of clean documents that look like toxic ones
