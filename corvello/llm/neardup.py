@@ -7,9 +7,11 @@ similarity collide in at least MATCHES coordinates but for a chance of 6e-7 at 0
 
 * pairs with one posting cannot collide, and a document with fewer than MATCHES other postings is done;
 * prefix: of the others it needs only its rarest ones, all but MATCHES - 1, so frequent passages are hardly posted;
-* skip: a posting list first links its members with one leader, which connects groups of near copies, however large,
-  with a number of pairs that is linear in their size.  Lists whose members are all connected by then are skipped.
-  Only across components do the remaining lists count collisions of members, in blocks of bounded size.
+* skip: a posting list's members are linked with one leader only, the member that shares most postings with others.
+  A document is first confirmed against the leader that it shares most lists with, which connects most of a group of
+  near copies, however large, with one pair for each.  Lists that are tied by leaders make a cluster; inside it members
+  of its largest component are not held against each other any more, and all others meet in blocks of bounded size,
+  where pairs that are connected by then are skipped, and what leaves a block is a spanning forest, not all its pairs.
 
 All pairs that remain are confirmed on the full shingle sets of the texts.  Components are found with alternating
 large-star and small-star steps over written tables.
@@ -37,8 +39,11 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 COORDINATES = 64
 MATCHES = 30
-#: Members of a posting list that are compared at a time.
-BLOCK = 4096
+#: Coordinates of the longer signature (a byte each) that sorts out pairs within a block; a pair of similarity 0.75
+#: falls short of this many matches with a chance of 6e-8.
+WIDE, WIDE_MATCHES = 256, 155
+#: Members of a block.
+BLOCK = 512
 #: Members that are held against one copy of a leader's text.
 MEMBERS = 256
 
@@ -78,18 +83,22 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-@lru_cache(1)
-def _factors() -> np.ndarray:
-    return np.random.default_rng(6).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
+@lru_cache(2)
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(n).integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        least = np.minimum(least, (found[at : at + 2048, None] * _factors()).min(axis=0))
+def signature(found: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, (found[at : at + 1024, None] * _factors(n)).min(axis=0))
     return least
 
 
+def wide_signature(found: np.ndarray) -> np.ndarray:
+    return (_mixed(signature(found, WIDE)) & np.uint64(255)).astype(np.uint8)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _hashes()
     for whole in batches:
@@ -145,61 +154,66 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of a list's blocks (rows in order of token, i and j) in different components with MATCHES collisions."""
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
-        node, comp, size, block = (np.array(c) for c in zip(*(r[3:7] for r in rows), strict=True))
-        if (comp == comp[0]).all():
-            return
-        signatures = np.array([r[7] for r in rows])
-        i, j = rows[0][1:3]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for x in left:
-            mine = right[(comp[right] != comp[x]) & (DENOMINATOR * np.minimum(size[right], size[x]) >= NUMERATOR * np.maximum(size[right], size[x]))]
-            if i == j:
-                mine = mine[node[mine] > node[x]]
-            for at in range(0, len(mine), 1024):
-                some = mine[at : at + 1024]
-                n = (signatures[some] == signatures[x]).sum(axis=1)
-                for y, matches in zip(some[n >= MATCHES], n[n >= MATCHES], strict=True):
-                    (p, cp), (q, cq) = sorted([(int(node[x]), int(comp[x])), (int(node[y]), int(comp[y]))])
-                    yield p, q, int(matches), min(cp, cq), max(cp, cq)
+def _forest(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links between the components of two blocks' documents, (node, component, block, text) each, that join all they can."""
+    hashes = _hashes()
+    node, component, block = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
+    if (component == component[0]).all():
+        return
+    sets = [shingles(r[3], hashes) for r in rows]
+    size, wide = np.array([len(s) for s in sets]), np.array([wide_signature(s) for s in sets])
+    first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    own = block.min() == block.max()
+    for k, x in enumerate(first):
+        others = second[k + 1 :] if own else second
+        others = others[(component[others] != component[x]) & (DENOMINATOR * np.minimum(size[others], size[x]) >= NUMERATOR * np.maximum(size[others], size[x]))]
+        near = (wide[others] == wide[x]).sum(axis=1)
+        order = np.argsort(-near, kind="stable")
+        for y in others[order[: int((near >= WIDE_MATCHES).sum())]]:
+            if component[y] != component[x] and similar(sets[x], sets[y]):
+                component[component == component[y]] = component[x]
+                yield int(node[x]), int(node[y])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, i, j, node, component, block, text) in order of the first three; links of each pair of blocks."""
 
     def packed(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(5)], ["a", "b", "matches", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    key, rows, found = None, [], []
+    key, rows = None, []
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            for row in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns), strict=True):
+        for at in range(0, whole.num_rows, 200):
+            for row in zip(*(c.to_pylist() for c in whole.slice(at, 200).columns), strict=True):
                 if row[:3] != key:
                     if rows:
-                        found += pairs(rows)
+                        yield packed(list(_forest(rows)))
                     key, rows = row[:3], []
-                rows.append(row)
-            if len(found) > 10_000:
-                yield packed(found)
-                found = []
+                rows.append(row[3:])
     if rows:
-        found += pairs(rows)
-    yield packed(found)
+        yield packed(list(_forest(rows)))
 
 
-def crossing(posts: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, matches, low, high) of members of a posting list whose components low and high differ.
+def across(clusters: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a cluster, enough to join all that are linked.
 
-    posts: token, node; nodes: node, n_shingles, signature; components: node, component (a node without one is alone).
+    clusters: (node, cluster); found: (node, component), a node without one is alone; texts: node, text.
+    Blocks 0 to outer - 1 hold the documents outside the cluster's largest component, the others its members; only
+    pairs of blocks with one of the former are dealt out, each document once to every such pair.
     """
-    now = posts.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low < high").drop("low", "high")
-    open_ = now.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # A list of one block is one task's; block i of a longer one meets every block j, so each of its rows goes to all of these.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = open_.select("token", "node", "component", "block", other).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
-    rows = dealt.join(nodes, "node").select("token", "i", "j", "node", "component", "n_shingles", "block", "signature")
-    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return rows.mapInArrow(_across, "a long, b long, matches long, low long, high long").dropDuplicates(["a", "b"])
+    nodes = texts.select("node").join(clusters, "node", "left").join(found, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("component", "node").alias("component"))
+    sizes = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("in"), F.sum("n").alias("n"))
+    sizes = sizes.where(F.col("n") > F.col("in")).select("cluster", "largest", blocks(F.col("n") - F.col("in")).alias("outer"), blocks(F.col("in")).alias("inner"))
+    placed = nodes.join(sizes, "cluster")
+    outside, hashed = F.col("component") != F.col("largest"), F.xxhash64("node")
+    placed = placed.withColumn("block", F.when(outside, F.pmod(hashed, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hashed, F.col("inner"))).cast("int"))
+    last = F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
+    dealt = placed.select("node", "cluster", "component", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
+    rows = dealt.join(texts, "node").select("cluster", "i", "j", "node", "component", "block", "text")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_within, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -231,38 +245,33 @@ def groups(docs: DataFrame) -> DataFrame:
 
     # Postings that two representatives share at least, and of these each one's rarest.
     nodes = base.join(classes, (base.digest == classes.digest) & (base.doc_id == F.col("node"))).select("node", "n_shingles", "signature")
-    posted = nodes.select("node", F.posexplode("signature")).select("node", F.xxhash64("pos", "col").alias("token"))
+    posted = nodes.select("node", "n_shingles", F.posexplode("signature")).select("node", "n_shingles", F.xxhash64("pos", "col").alias("token"))
     counted = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rarest = posted.join(counted, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))  # 64 at most
-    rarest = rarest.where(F.size("shared") >= MATCHES).select("node", F.explode(F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)).alias("post"))
-    posts = materialise(rarest.select("node", F.col("post.token").alias("token")), "posts")
-
-    members = posts.select("node").distinct()
-    nodes = materialise(base.join(members, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "nodes")
-    texts = materialise(docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
-
-    # Each list's leader is the member with the least hash; a document goes to the leader that it shares most lists with.
-    sized = posts.join(nodes.select("node", "n_shingles"), "node")
-    leaders = sized.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("n_shingles").alias("size"))).alias("leader"))
-    led = sized.join(leaders, "token").where((F.col("node") != F.col("leader.a")) & _alike(F.col("n_shingles"), F.col("leader.size")))
-    best = led.groupBy("node", F.col("leader.a").alias("a")).agg(F.count(F.lit(1)).alias("lists")).groupBy("node").agg(F.max_by("a", F.struct("lists", F.xxhash64("a"))).alias("a"))
+    shared = posted.join(counted, "token").groupBy("node").agg(F.max("n_shingles").alias("size"), F.sum(F.log("n")).alias("weight"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))  # 64 at most
+    rarest = shared.where(F.size("shared") >= MATCHES).select("node", "size", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)).alias("post"))
+    posts = materialise(rarest.select("node", "size", "weight", F.col("post.token").alias("token")), "posts")
+
+    # Each list's leader is the member that shares most postings; near copies' leader is the one nearest to all others.
+    leaders = posts.groupBy("token").agg(F.max(F.struct("weight", F.col("node").alias("a"), "size")).alias("leader"))
+    led = posts.join(leaders, "token").where(F.col("node") != F.col("leader.a"))
+    stars = materialise(led.groupBy("node", F.col("leader.a").alias("a")).agg(F.count(F.lit(1)).alias("lists"), F.max(_alike(F.col("size"), F.col("leader.size"))).alias("alike")), "stars")
+    clusters = components(stars.select("a", F.col("node").alias("b")), "clusters").toDF("node", "cluster")
+    members = clusters.select("node").union(clusters.select("cluster")).distinct()
+    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = materialise(texts.dropDuplicates(["node"]), "texts")
+
+    best = stars.where("alike").groupBy("node").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
     links = materialise(confirmed(best.select("a", F.col("node").alias("b")), texts), "links")
     found = components(links)
-
-    # What is left between components: first the pair with most collisions for each two of them, then all the rest.
-    for last in (False, True):
-        pairs = crossing(posts, nodes, found)
-        if not last:
-            pairs = pairs.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("pair")).select("pair.*")
-        more = materialise(confirmed(pairs.select("a", "b"), texts), "links")
-        named = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-        upper = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        moved = found.join(upper.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        after = materialise(moved.union(upper.join(found.select("node"), "node", "left_anti")), "components")
-        discard(found, upper, more)
-        found = after
-    discard(posts, nodes, texts, links)
+    more = materialise(across(clusters, found, texts), "links")
+    named = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    upper = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = found.join(upper.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    after = materialise(moved.union(upper.join(found.select("node"), "node", "left_anti")), "components")
+    discard(posts, stars, clusters, texts, links, found, more, upper)
 
     component = F.coalesce("component", classes.node, "doc_id")
-    rows = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found, "node", "left")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(after, "node", "left")
+    out = materialise(rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "groups")
+    discard(base, after)
+    return out
