@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from corvello.llm.common import materialise
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length and salt bucket on average at most, even if all pieces had the same length.
-ROWS_A_BUCKET = 50_000
+#: Pieces of one length and salt on average at most.
+ROWS_A_BUCKET = 2000
 #: Entries of a worker's cache of chunks; a full cache is emptied.
 CACHE_ENTRIES = 500_000
 
@@ -38,8 +41,16 @@ _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200f\u2028-\u
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|$%&#*]*)")
 
 
+#: How byte-level tokenizers write the bytes of 128 and above that are no printable letters of Latin-1.
+_BYTE_LETTERS = {b: 256 + 33 + k for k, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
+
+
 class ChunkTokenizer:
-    """Ids of texts as little-endian 32-bit numbers; what stands between white space is tokenised once and kept."""
+    """Ids of texts as little-endian 32-bit numbers; what stands between white space is tokenised once and kept.
+
+    Latin words are kept apart, so that a word is tokenised once whatever its case and the punctuation after it; they
+    need no more than the tokenizer's model, which takes bytes as letters.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -47,34 +58,34 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-case Latin word or of a run of punctuation."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > CACHE_ENTRIES:
+                self.words = {"": b""}
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            self.words[word] = found = self.packed([t.id for t in self.tokenizer.model.tokenize(letters)])
+        return found
 
     def learn(self, chunks: set[str]) -> None:
-        """Put chunks into the cache; Latin words are tokenised in one call, each once whatever its case and ending."""
-        plain, odd = {}, []
+        """Put chunks into the cache."""
+        odd, match, word, cache = [], _WORD.fullmatch, self.word, self.cache
         for chunk in chunks:
-            if m := _WORD.fullmatch(chunk):
-                plain[chunk] = (m[1].lower(), m[2])
+            if m := match(chunk):
+                cache[chunk] = word(m[1].lower()) + word(m[2])
             else:
                 odd.append(chunk)
-        words = list({x for pair in plain.values() for x in pair if x})
-        found = {"": b""}
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            enc = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(enc.ids, "<u4"), np.array(enc.word_ids)
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            if len(starts) != len(some):
-                raise ValueError("the tokenizer splits Latin words")
-            found |= zip(some, map(np.ndarray.tobytes, np.split(ids, starts[1:])), strict=True)
-        self.cache |= {chunk: found[word] + found[end] for chunk, (word, end) in plain.items()}
         for at in range(0, len(odd), 20_000):
             some = odd[at : at + 20_000]
             for chunk, enc in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.cache[chunk] = self.packed(enc.ids)
+                cache[chunk] = self.packed(enc.ids)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
@@ -89,11 +100,17 @@ class ChunkTokenizer:
                 yield self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if parts is None else b"".join(map(get, parts))
 
 
+@lru_cache(1)
+def shared_tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks that a worker runs."""
+    return ChunkTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, end = ChunkTokenizer(tokenizer_path), ChunkTokenizer.packed([END_ID])
+        tokenize, end = shared_tokenizer(tokenizer_path), ChunkTokenizer.packed([END_ID])
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             of, piece, start, length, crc = [], [], [], [], []
@@ -170,9 +187,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
     return np.array(sorted(slots), np.int64).reshape(-1, 5), sequences
 
 
-def numbered(cut: DataFrame, total: int) -> DataFrame:
-    """Pieces with their number among those of their length, from 0."""
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, math.ceil(total / ROWS_A_BUCKET)))))
+def numbered(cut: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """Pieces with their number among those of their length, from 0; a frequent length is dealt to as many salts as it needs."""
+    parts = cut.sparkSession.createDataFrame([(x, math.ceil(n / ROWS_A_BUCKET)) for x, n in histogram.items()], "length long, parts int")
+    salted = cut.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts")).drop("parts")
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
@@ -196,4 +214,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*names).schema]
-    return numbered(cut, sum(histogram.values())).mapInArrow(place, ", ".join([*kinds, "sequence_id long, offset long"]))
+    return numbered(cut, histogram).mapInArrow(place, ", ".join([*kinds, "sequence_id long, offset long"]))
