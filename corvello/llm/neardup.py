@@ -257,7 +257,8 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = materialise(led.groupBy("node", F.col("leader.a").alias("a")).agg(F.count(F.lit(1)).alias("lists"), F.max(_alike(F.col("size"), F.col("leader.size"))).alias("alike")), "stars")
     clusters = components(stars.select("a", F.col("node").alias("b")), "clusters").toDF("node", "cluster")
     members = clusters.select("node").union(clusters.select("cluster")).distinct()
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
+    # One plan at every size: members grow with the corpus, so they are not broadcast where they happen to be few.
+    texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = materialise(texts.dropDuplicates(["node"]), "texts")
 
     best = stars.where("alike").groupBy("node").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
