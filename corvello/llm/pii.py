@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base spans, in Java's syntax.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-IP_CHECK = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])|\.0++){3}$"
+IP_CHECK = r"^(?:0++|0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]))(?:\.0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])|\.0++){3}$"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Tokens with the shape of an identifier: digits and their punctuation between white space, bars or brackets.

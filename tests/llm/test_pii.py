@@ -83,3 +83,7 @@ def test_masking(spark):
     rows = [(1, "mail a@b.co, or +1 234 567 890!", "x"), (2, "clean", "y"), (3, None, "z"), (1, "other 10.0.0.1", "w")]
     got = sorted(tuple(r) for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string, spans string")).select("doc_id", "spans", "text").collect())
     assert got == [(1, "w", "other [IP]"), (1, "x", "mail [EMAIL], or [PHONE]!"), (2, "y", "clean"), (3, "z", None)]
+
+
+def test_addresses_whose_first_part_is_zero(spark):
+    check(spark, list(enumerate(["0.0.0.0", "0.1.2.3", "00.1.2.3", "at 000.0.00.255, then", "0256.1.1.1", "0.256.0.0", "0.0.0"])))
