@@ -166,10 +166,10 @@ def conversation_paths(spark, sf_dir):
 
 
 def link_closure(spark, sf_dir):
-    """Parts and suppliers that are reached from part 1 in three steps."""
+    """All parts and suppliers that can be reached from part 1, with the least number of steps."""
     pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
     seeds = spark.createDataFrame([("p1",)], "node string")
-    return links.closure(seeds, pairs.union(pairs.select("dst", "src")), 3)
+    return links.closure(seeds, pairs.union(pairs.select("dst", "src")))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
