@@ -27,6 +27,23 @@ def levels(nodes: DataFrame) -> DataFrame:
         found = found.union(level)
 
 
+def chain_paths(nodes: DataFrame) -> DataFrame:
+    """(node, depth, path) of nodes (node, parent, name) that hang together with a root; without a name on the way the path is null.
+
+    A node's part of its path doubles each round, so a chain of n nodes takes log n rounds and not n.
+    """
+    parts = written(nodes.select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("name").alias("path")), "chains")
+    found = parts.where("up IS NULL")
+    while parts.where("up IS NOT NULL").limit(1).count():
+        above = parts.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("path").alias("p"))
+        joined = parts.where("up IS NOT NULL").join(above, "up")
+        longer = joined.select("node", F.col("next").alias("up"), (F.col("depth") + F.col("d") + 1).alias("depth"), F.concat("p", F.lit(", "), "path").alias("path"))
+        # What has reached a root stays in parts: others' paths end with it.
+        parts = written(parts.where("up IS NULL").union(longer), "chains")
+        found = parts.where("up IS NULL")
+    return found.drop("up")
+
+
 def char_index(path: str, name: str):
     """Bytes of a path before its last name."""
     return (F.octet_length(path) - F.octet_length(name)).cast("long")

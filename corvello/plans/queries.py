@@ -159,10 +159,9 @@ def tree_siblings(spark, sf_dir):
 
 def conversation_paths(spark, sf_dir):
     """Conversations as chains: the depth of every turn, whose parent is the turn before."""
-    turns = table(spark, sf_dir, "conversations").where("turn < 8")
+    turns = table(spark, sf_dir, "conversations").where("turn IS NOT NULL")
     node = lambda t: F.concat_ws("/", "conv_id", t)
-    nodes = turns.select(node(F.col("turn")).alias("node"), F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("parent"), F.col("turn").alias("ordinal"), F.col("role").alias("name"), F.lit("").alias("local"))
-    return trees.levels(nodes).select("node", F.col("depth").cast("long").alias("depth"), "path")
+    return trees.chain_paths(turns.select(node(F.col("turn")).alias("node"), F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("parent"), F.col("role").alias("name")))
 
 
 def link_closure(spark, sf_dir):
