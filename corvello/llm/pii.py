@@ -4,8 +4,9 @@ Base spans are the leftmost non-overlapping matches of four kinds of identifiers
 bootstrapping: the words before and after identifiers are lexical patterns, typed by kind; a pattern's confidence is
 the share of all the word's occurrences in the corpus at which known identifiers of the kind stand, and an unknown
 token of a kind's shape gets the score 1 - product of (1 - confidence) over the patterns that it occurs with.  Tokens
-that score high become known, patterns are scored again, and so on for ROUNDS rounds; the tokens known at the end are
-spans wherever they stand.  Iterations run over the table of identifier-like occurrences; the corpus is read twice, for
+that score high become known, patterns are scored again, and so on until nothing new is accepted; the tokens known at
+the end are spans wherever they stand.  Candidates are unbroken and spaced numbers, identifiers with letters and digits
+(of kind card or phone, whichever context accepts them) and forms of e-mail addresses that are no base span.  Iterations run over the table of identifier-like occurrences; the corpus is read twice, for
 occurrences and for word counts, which are summed before the shuffle.
 
 Base patterns are written so that a match takes time linear in the text and equals the plain pattern's match: a digit
@@ -13,7 +14,7 @@ run's match begins at the run's first digit, and an e-mail's local part where it
 match ended.
 
 Defined results: null text is empty and has no spans; repeated rows, also of null doc_id, get spans of their own
-texts; overlapping spans of different kinds all stay; an empty table gives no rows; columns named as results are
+texts; overlapping spans all stay; an empty table gives no rows; columns named as results are
 replaced.
 """
 
@@ -34,8 +35,18 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Tokens with the shape of an identifier: digits and their punctuation between white space, bars or brackets.
 TOKEN = r"(?<![^\s|(])[0-9][0-9().-]{6,30}+(?=[^0-9A-Za-z\s|]*+(?:[\s|]|\z))"
-
-ROUNDS, SUPPORT, CONFIDENCE, ACCEPT = 3, 5, 0.5, 0.7
+_LEFT, _RIGHT = r"(?<![^\s|(\[\"'<:=#])", r"(?=[^0-9A-Za-z\s|]*+(?:[\s|]|\z))"
+_GROUP = r"[(]?[0-9][0-9().-]*+" + _RIGHT
+#: Two or more groups of digits with single blanks between them.
+SPACED = rf"{_LEFT}{_GROUP}(?: {_GROUP})++"
+#: A word of letters and at least a digit, or groups that begin as an IBAN does.
+LETTERED = rf"{_LEFT}(?:[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{1,4}}(?![A-Za-z0-9]))++|(?=[0-9.-]*+[A-Za-z])(?=[A-Za-z.-]*+[0-9])[A-Za-z0-9][A-Za-z0-9.-]{{5,}}+){_RIGHT}"
+_NAME = r"[\p{L}\p{N}_%+-]"
+#: Addresses without a dot in the host, with other letters, or with at and dot as words.
+ADDRESS = rf"{_LEFT}{_NAME}++(?:\.{_NAME}++)*+(?:(?:@| ?[(\[{{](?i:at)[)\]}}] ?){_NAME}++(?:(?:\.| ?[(\[{{](?i:dot)[)\]}}] ?| (?i:dot) ){_NAME}++)*+| (?i:at) {_NAME}++(?:(?:\.| (?i:dot) ){_NAME}++)++)"
+CANDIDATES = {"token": TOKEN, "spaced": SPACED, "lettered": LETTERED, "address": ADDRESS}
+
+SUPPORT, CONFIDENCE, ACCEPT = 5, 0.5, 0.7
 _CONTEXT = 60
 _PUNCTUATION = ".,;:!?|\"'()[]{}<>$%&*#=\n\r\t"
 
@@ -69,10 +80,13 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), _PUNCTUATION, " " * len(_PUNCTUATION)), " ", -1), lambda w: w != "")
 
 
-def _shape(token: Column) -> Column:
-    """The kind whose shape a token has that is no base span, or null."""
-    n = F.length(_digits(token))
-    return F.when(token.rlike(r"^[0-9]++(\.[0-9]++){3}$"), "ip").when(token.rlike("^[0-9-]+$") & n.between(13, 19), "card").when(token.rlike("^[(]?[0-9][0-9().-]*$") & n.between(7, 15), "phone")
+def _shapes(token: Column) -> Column:
+    """The kinds whose shape a token has that is no base span."""
+    n, lettered = F.length(_digits(token)), token.rlike("^[A-Za-z0-9. -]*[A-Za-z][A-Za-z0-9. -]*$") & (F.length(token) >= 6)
+    one = lambda kind, when: F.when(when, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
+    ip, number = token.rlike(r"^[0-9]++(\.[0-9]++){3}$"), token.rlike("^[(]?[0-9][0-9(). -]*$")
+    card, phone = token.rlike("^[0-9 -]+$") & n.between(13, 19), number & n.between(7, 15)
+    return F.when(ip, one("ip", ip)).otherwise(F.concat(one("card", card | (lettered & (n >= 4))), one("phone", phone | (lettered & (n >= 4)))))
 
 
 def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +95,7 @@ def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     One pass reads the texts.  What it found is written, and offsets are running sums over each row's matches.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)) | {"token": TOKEN}
+    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)) | CANDIDATES
     read = docs.select("doc_id", text.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), *(matches(F.col("text"), p).alias(k) for k, p in patterns.items()))
     read = materialise(read, "pii-matches")
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in patterns))
@@ -89,16 +103,17 @@ def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = read.where(some).select("row", F.explode(kinds).alias("k")).select("row", "k.kind", F.posexplode("k.found").alias("i", "m")).select("row", "kind", "i", "m.*")
     so_far = Window.partitionBy("row", "kind").orderBy("i")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.length("text")).over(so_far).cast("int")).withColumn("start", F.col("end") - F.length("text"))
-    base = (F.col("kind") != "token") & _sound(F.col("kind"), F.col("text"))
-    # Tokens end with a digit; base matches that fail their check are no spans but may be tokens too.
-    placed = placed.select("row", F.when(F.col("kind") == "token", "").otherwise(F.col("kind")).alias("kind"), base.alias("base"), "start", F.when(F.col("kind") == "token", F.regexp_replace("text", "[^0-9]++$", "")).otherwise(F.col("text")).alias("text"), "before", "after")
-    placed = placed.where(F.col("base") | (F.col("kind") == "")).withColumn("end", (F.col("start") + F.length("text")).cast("int"))
+    candidate = F.col("kind").isin(*CANDIDATES)
+    base = ~candidate & _sound(F.col("kind"), F.col("text"))
+    # Candidates end with a letter or digit; base matches that fail their check are no spans but may be tokens too.
+    placed = placed.select("row", F.when(candidate, F.when(F.col("kind") == "address", "address").otherwise("")).otherwise(F.col("kind")).alias("kind"), base.alias("base"), "start", F.when(candidate, F.regexp_replace("text", r"[^\p{L}\p{N}]++$", "")).otherwise(F.col("text")).alias("text"), "before", "after")
+    placed = placed.where(F.col("base") | F.col("kind").isin("", "address")).withColumn("end", (F.col("start") + F.length("text")).cast("int"))
     own_end, own_start = F.when(F.col("base"), F.col("end")), F.when(F.col("base"), F.col("start"))
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     held = F.coalesce(F.max(own_end).over(order.rowsBetween(Window.unboundedPreceding, 0)) > F.col("start"), F.lit(False)) | F.coalesce(F.min(own_start).over(order.rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False))
-    kind = F.when(F.col("base"), F.col("kind")).otherwise(_shape(F.col("text")))
-    found = placed.withColumn("held", held).where("base OR NOT held").select("row", kind.alias("kind"), "base", "start", "end", "text", F.try_element_at(_words(F.col("before")), F.lit(-1)).alias("before"), F.get(_words(F.col("after")), F.lit(0)).alias("after"))
-    return read.select("row", "doc_id", "key"), materialise(found.where("kind IS NOT NULL"), "pii-occurrences")
+    kinds = F.when(F.col("base"), F.array("kind")).when(F.col("kind") == "address", F.array(F.lit("email"))).otherwise(_shapes(F.col("text")))
+    found = placed.withColumn("held", held).where("base OR NOT held").select("row", F.explode(kinds).alias("kind"), "base", "start", "end", "text", F.try_element_at(_words(F.col("before")), F.lit(-1)).alias("before"), F.get(_words(F.col("after")), F.lit(0)).alias("after"))
+    return read.select("row", "doc_id", "key"), materialise(found, "pii-occurrences")
 
 
 def discovered(tokens: DataFrame, docs: DataFrame) -> DataFrame:
@@ -112,17 +127,18 @@ def discovered(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     counts = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("all"))
     counts = materialise(counts.join(supported, "word", "left_semi"), "pii-words")
     known = edges.where("seed").select("kind", "text").distinct()
+    # What is accepted stays: more known identifiers never lower a score, and every round but the last one adds some.
     accepted = spark.createDataFrame([], "kind string, text string")
-    for _ in range(ROUNDS):
+    while True:
         held = edges.join(known, ["kind", "text"], "left_semi").groupBy("side", "word", "kind").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("instances"))
         patterns = held.where((F.col("hits") >= SUPPORT) & (F.col("instances") >= 3)).join(counts, "word").select("side", "word", "kind", F.least(F.col("hits") / F.col("all"), F.lit(0.999)).alias("confidence"))
         patterns = patterns.where(F.col("confidence") >= CONFIDENCE)
         # Instances of base spans stay known; others are known by their patterns of this round.
         scored = edges.where("NOT seed").join(patterns, ["side", "word", "kind"]).groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        now = materialise(scored.where(F.col("score") >= ACCEPT).select("kind", "text"), "pii-accepted")
-        if not now.exceptAll(accepted).limit(1).count():
+        new = materialise(scored.where(F.col("score") >= ACCEPT).select("kind", "text").join(accepted, ["kind", "text"], "left_anti"), "pii-accepted")
+        if not new.limit(1).count():
             break
-        accepted = now
+        accepted = accepted.union(new)
         known = edges.where("seed").select("kind", "text").union(accepted).distinct()
     return accepted
 

@@ -87,3 +87,25 @@ def test_masking(spark):
 
 def test_addresses_whose_first_part_is_zero(spark):
     check(spark, list(enumerate(["0.0.0.0", "0.1.2.3", "00.1.2.3", "at 000.0.00.255, then", "0256.1.1.1", "0.256.0.0", "0.0.0"])))
+
+
+def test_patterns_discover_spaced_lettered_and_address_forms(spark):
+    rng = random.Random(2)
+    rows = [(i, f"words here and dial +1 {rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)} now, then pay 4111 1111 1111 1111 soon, or write u{i}@a.com quickly") for i in range(30)]
+    rows += [(50 + i, f"again pay {c} soon") for i, c in enumerate(("5500 0000 0000 0004", "3400-000000-00009"))]
+    want = {"please dial 415 555 2671 now": "phone:12:24", "please dial (415) 555-2671 now": "phone:12:26,phone:18:26", "then pay 4111 1111 1111 1112 soon": "card:9:28",
+            "then pay DE89 3704 0044 0532 0130 00 soon": "card:9:36,card:14:36", "then pay AB1234567 soon": "card:9:18", "or write joe@localhost quickly": "email:9:22",
+            "or write joe at example dot com quickly": "email:9:31", "there 415 555 9999 words": "", "there AB7654321 words": "", "meet at noon": ""}
+    rows += [(100 + i, x) for i, x in enumerate(want)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(len(want))] == list(want.values())
+
+
+def test_patterns_run_until_nothing_new(spark):
+    # Each step's word is a pattern only when the identifiers that the last step's word brought are known.
+    rows = [(i, f"w0 +1 234 567 80{i:02}") for i in range(30)]
+    for step in range(6):
+        for i in range(3):
+            rows += [(0, f"w{step + k} 555-{step}{i}1-2671") for k in (0, 1, 1, 1, 1)]
+    got = [r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert all(got)
