@@ -57,3 +57,19 @@ def test_edges(spark):
     assert [json.loads(r.message)["tool_calls"][0]["result"] for r in got if r.n_calls] == ["1", "1"]
     clash = spark.createDataFrame([(1, 0, "user", "hi", "k", 7)], SCHEMA + ", key string, level int")
     assert chat_tools.formatted(clash).collect()[0].message == '{"content":"hi","role":"user"}'
+
+
+def test_content_order_and_nested_schemas(spark):
+    line = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}, "tag": {"type": ["string", "null"], "maxLength": 3}}, "required": ["n"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"unit": {"enum": ["m", "ft"]}, "lines": {"type": "array", "items": line, "minItems": 1}}, "additionalProperties": {"type": "number", "exclusiveMaximum": 5}}
+    cases = [({"unit": "m", "lines": [{"n": 1, "tag": None}, {"n": 2.0, "tag": "abc"}], "x": 4.5}, True), ({"unit": "km"}, False), ({"lines": []}, False), ({"lines": [{"n": 0}]}, False),
+             ({"lines": [{"n": 1}, {"tag": "a"}]}, False), ({"lines": [{"n": 1, "tag": "abcd"}]}, False), ({"lines": [{"n": 1, "tag": 1}]}, False), ({"lines": [{"n": 1, "z": 1}]}, False), ({"x": 5}, False), ({"x": "5"}, False), ({}, True)]
+    text = {"content": "let me \"see\"", "refusal": None, "role": "x", "tool_calls": [{"id": "b", "name": "f", "arguments": {"x": "${a}"}}, {"id": None, "name": "f", "arguments": {}}, {"id": "a", "name": "f", "arguments": {}}]}
+    rows = [(1, 0, "system", json.dumps({"tools": [{"name": "size", "parameters": schema}]})), (1, 1, "assistant", call(*((f"c{k}", "size", a) for k, (a, _) in enumerate(cases))))]
+    rows += [(2, 0, "assistant", json.dumps(text)), (2, 1, "assistant", json.dumps({"content": None, "tool_calls": []}))]
+    got, _ = run(spark, rows)
+    assert [c["valid"] for c in got[1, 1][4]["tool_calls"]] == [ok for _, ok in cases]
+    message = got[2, 0][4]
+    assert [c.get("id") for c in message["tool_calls"]] == ["a", "b", None]
+    assert (message["content"], message["refusal"], message["role"]) == ("let me \"see\"", None, "assistant") and list(message) == sorted(message)
+    assert got[2, 1][4] == {"role": "assistant", "tool_calls": []}
