@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier over word n-grams, confirmed by templates.
 
-Paragraphs are lines.  Their words are cut down to the classifier's vocabulary (words of the licence templates that are
+Paragraphs are lines that are confirmed on their own and, of each block between blank lines (also lines of comment
+markers alone), all its other lines joined, so notices may be wrapped.  Their words are cut down to the classifier's vocabulary (words of the licence templates that are
 rare in ordinary paragraphs), and the 1-, 2- and 3-grams of what is left, at most a few thousand features, have sparse
 weights for each licence family and for the unknown class.  Only paragraphs with a word of the vocabulary meet the
 weights, in a broadcast join of bounded size; all others are unknown.  Probabilities are a softmax whose temperature is
@@ -35,6 +36,8 @@ BACKGROUND, BACKGROUND_CHARS = 300, 20_000
 ORDINARY = 0.01
 CONFIRMED = 0.6
 PROBABILITY = 0.5
+#: Line ends around lines without a letter or digit.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 
 # Fixed texts: short notices by which the licence families are named in files.
 TEMPLATES = {
@@ -170,15 +173,9 @@ def _words(text: Column) -> Column:
     return F.split(F.translate(text, "".join(map(chr, _LOWER)), "".join(map(chr, _LOWER.values()))), _SEPARATOR, -1)
 
 
-def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, family (null: none), probability, confirmed and n_paragraphs (licensed ones) of every document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    # Lines keep the words of the vocabulary only; a document is one row, most with no line left.
-    kept = F.filter(F.transform("lines", lambda p, i: F.struct(i.alias("line"), F.filter(_words(p), lambda w: w.isin(*model.vocabulary)).alias("words"))), lambda p: F.size(p["words"]) > 0)
-    kept = kept if model.vocabulary else F.expr("cast(array() as array<struct<line:int,words:array<string>>>)")
-    found = materialise(rows.select("row", "doc_id", kept.alias("lines")), "licence-words")
-    lines = found.select("row", F.explode("lines").alias("p")).select("row", "p.line", "p.words")
+def _judged(lines: DataFrame, model: Model) -> DataFrame:
+    """row, line, family, probability, share and confirmed of the licensed ones of lines (row, line, words)."""
+    spark = lines.sparkSession
     words = F.col("words")
     n = F.size(words)
     grams = lambda k: F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
@@ -199,7 +196,23 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     templates = spark.createDataFrame(templates or [("", [""])], "family string, template array<string>")
     share = F.size(F.array_intersect("words", "template")) / F.size("template")
     judged = scored.join(lines, ["row", "line"]).join(F.broadcast(templates), "family").groupBy("row", "line", "family", "probability").agg(F.max(share).alias("share"))
-    judged = judged.withColumn("confirmed", F.col("share") >= CONFIRMED)
+    return judged.withColumn("confirmed", F.col("share") >= CONFIRMED)
+
+
+def scan(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, family (null: none), probability, confirmed and n_paragraphs (licensed ones) of every document."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), BLANK, -1).alias("blocks"))
+    # Lines keep the words of the vocabulary only; a document is one row, most with no line left.
+    known_words = lambda p, block: F.struct(block.alias("block"), F.filter(_words(p), lambda w: w.isin(*model.vocabulary)).alias("words"))
+    kept = F.flatten(F.transform("blocks", lambda b, j: F.filter(F.transform(F.split(b, "\n", -1), lambda p: known_words(p, j)), lambda p: F.size(p["words"]) > 0)))
+    kept = kept if model.vocabulary else F.expr("cast(array() as array<struct<block:int,words:array<string>>>)")
+    found = materialise(rows.select("row", "doc_id", kept.alias("lines")), "licence-words")
+    lines = found.select("row", F.posexplode("lines").alias("line", "p")).select("row", "line", "p.block", "p.words")
+    single = materialise(_judged(lines, model).where("confirmed"), "licence-lines")
+    # What is no notice of its own is joined with its block's other lines.
+    rest = lines.join(single, ["row", "line"], "left_anti").groupBy("row", "block").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "words"))).alias("all"))
+    rest = rest.select("row", "line", F.flatten(F.col("all.words")).alias("words"))
+    judged = single.unionByName(_judged(rest, model))
     order = F.struct("confirmed", "probability", -F.col("line"))
     by_row = judged.groupBy("row").agg(F.max_by(F.struct("family", "probability", "confirmed"), order).alias("b"), F.count(F.lit(1)).alias("n"))
     out = found.select("row", "doc_id").join(by_row, "row", "left")

@@ -186,3 +186,14 @@ def test_warc_frames_are_plain_zstandard(spark, tmp_path):
     writer.close()
     whole = zstandard.ZstdDecompressor().stream_reader((tmp_path / "b.zst").open("rb"), read_across_frames=True).read()
     assert whole == b"".join(records) and len(writer.sizes) == 4
+
+
+def test_wrapped_licences(spark):
+    model = license_scan.fit(["plain text of no kind", "another one with the words of a paragraph"] * 50)
+    bsd = "/*\n * Some title\n *\n * Redistribution and use in source and binary\n * forms, with or without modification, are\n * permitted provided that the following\n * conditions are met:\n *\n * the code\n */\nint x;"
+    gpl = "# This program is free software: you can\n# redistribute it and/or modify it under the terms\n# of the GNU General Public License as published\n# by the Free Software Foundation, either version 3\n# of the License, or (at your option) any later\n# version."
+    mit = "plain text\n\nReleased under\nthe MIT\nLicense\r\n \r\nmore text"
+    two = "Released under the MIT License\nAll rights reserved."
+    frame = spark.createDataFrame(list(enumerate([bsd, gpl, mit, two, "forms of text\n\nwith words"])), "doc_id long, text string")
+    got = {r.doc_id: (r.family, r.confirmed, r.n_paragraphs) for r in license_scan.scan(frame, model).collect()}
+    assert [got[k] for k in range(3)] == [("BSD", True, 1), ("GPL", True, 1), ("MIT", True, 1)] and got[3][1:] == (True, 2) and not got[4][1]
