@@ -20,12 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group; rows without doc_id are in no group and stay."""
-    ids = materialise(neardup.groups(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    kept = docs.join(ids.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    if ids.where("n > 1").limit(1).count():  # repeated rows of one doc_id: one stays
-        kept = kept.unionByName(docs.join(ids.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+    """One row of each group, that with the least doc_id (null last); every row has a key of its own, written once."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = neardup.groups(rows.select(F.col("__row").alias("doc_id"), "text"))
+    named = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col("doc_id").alias("id")), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"))
+    return rows.join(materialise(first.select("first.__row"), "kept"), "__row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,13 @@ def test_library_stands_without_the_subpackage(tmp_path):
             (tmp_path / "corvello" / part.name).symlink_to(part)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'fts_words' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_near_duplicates_go_by_row(spark):
+    a, b, c = ("".join(f"{w}{k} " for k in range(40)) for w in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, c), (None, "x y z"), (None, "x y z"), (5, "short"), (5, "other")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, a), (2, b), (4, c), (None, "x y z"), (5, "short"), (5, "other")], key=key)
