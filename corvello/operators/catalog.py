@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvello.functions.text import ascii_lower
-from corvello.operators.links import written
+from corvello.storage import materialise
 
 #: Rows of one bucket of a dense numbering.
 BUCKET = 100_000
@@ -30,7 +30,7 @@ def ordered_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     The ranges are written once, with each row's place in its range; counts of ranges are all that meets in one task.
     """
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(sorted_rows.withColumn("__part", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
+    placed = materialise(sorted_rows.withColumn("__part", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     return placed.join(before, "__part").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__part", "__k", "__before")

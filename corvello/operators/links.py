@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvello.functions.text import ascii_lower, dir_of, references, resolve
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table below the folder that the cluster names in spark.checkpoint.dir; one of our own only where none is."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corvello-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from corvello.storage import discard, materialise
 
 
 def refs(pages: DataFrame, doc: str, html: str) -> DataFrame:
@@ -46,12 +32,12 @@ def closure(seeds: DataFrame, edges: DataFrame, hops: int | None = None) -> Data
 
     Only nodes found in the last round are followed; each round is a written table, so lineage stays short.
     """
-    seen = written(seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")), "closure")
+    seen = materialise(seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")), "closure")
     frontier, hop = seen, 0
     while hops is None or hop < hops:
         hop += 1
         step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long")), "closure")
+        frontier = materialise(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long")), "closure")
         if not frontier.limit(1).count():
             break
         seen = seen.union(frontier)

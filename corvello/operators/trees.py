@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvello.operators.links import written
+from corvello.storage import materialise
 
 #: Siblings of one bucket of a prefix sum.
 BUCKET = 4096
@@ -16,12 +16,12 @@ def levels(nodes: DataFrame) -> DataFrame:
 
     One join for each depth; a rank is the parent's rank and the ordinal, so no level is sorted as a whole.
     """
-    found = written(nodes.where("parent IS NULL").withColumn("depth", F.lit(0)).withColumn("rank", F.array("ordinal")).withColumn("path", F.col("name")), "levels")
+    found = materialise(nodes.where("parent IS NULL").withColumn("depth", F.lit(0)).withColumn("rank", F.array("ordinal")).withColumn("path", F.col("name")), "levels")
     level = found
     while True:
         up = level.select(F.col("node").alias("parent"), F.col("depth").alias("d"), F.col("rank").alias("r"), F.col("path").alias("p"))
         down = nodes.join(up, "parent").select(*nodes.columns, (F.col("d") + 1).alias("depth"), F.concat("r", F.array("ordinal")).alias("rank"), F.concat_ws(", ", "p", "name").alias("path"))
-        level = written(down, "levels")
+        level = materialise(down, "levels")
         if not level.limit(1).count():
             return found
         found = found.union(level)
@@ -32,14 +32,14 @@ def chain_paths(nodes: DataFrame) -> DataFrame:
 
     A node's part of its path doubles each round, so a chain of n nodes takes log n rounds and not n.
     """
-    parts = written(nodes.select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("name").alias("path")), "chains")
+    parts = materialise(nodes.select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("name").alias("path")), "chains")
     found = parts.where("up IS NULL")
     while parts.where("up IS NOT NULL").limit(1).count():
         above = parts.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("path").alias("p"))
         joined = parts.where("up IS NOT NULL").join(above, "up")
         longer = joined.select("node", F.col("next").alias("up"), (F.col("depth") + F.col("d") + 1).alias("depth"), F.concat("p", F.lit(", "), "path").alias("path"))
         # What has reached a root stays in parts: others' paths end with it.
-        parts = written(parts.where("up IS NULL").union(longer), "chains")
+        parts = materialise(parts.where("up IS NULL").union(longer), "chains")
         found = parts.where("up IS NULL")
     return found.drop("up")
 

@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from corvello.functions.text import ascii_lower, dir_of, parse_lcid, references, resolve, slashes, stem, title
 from corvello.operators import archive, catalog, fulltext, trees
-from corvello.operators.links import written
+from corvello.storage import materialise
 from corvello.sources import encoding, project
 
 
@@ -66,7 +66,7 @@ def discovered(listed: DataFrame, files: DataFrame, sitemaps: list[str]) -> tupl
     """
     key = ascii_lower(F.col("path")).alias("key")
     there = files.select(key, F.col("path").alias("real"), "size", "html")
-    frontier = written(listed.select(key, "path", F.array("ord").alias("rank")), "found")
+    frontier = materialise(listed.select(key, "path", F.array("ord").alias("rank")), "found")
     seen, hop, lists = frontier.select("key", "path", "rank", F.lit(0).alias("hop")), 0, [s.lower() for s in sitemaps if s]
     local = F.transform(F.filter(project.attributes(F.col("tag")), lambda a: a["name"] == "value"), lambda a: a["value"])
     while True:
@@ -80,7 +80,7 @@ def discovered(listed: DataFrame, files: DataFrame, sitemaps: list[str]) -> tupl
             refs = refs.union(tags.select("rank", "k", F.coalesce(F.get(local, F.lit(0)), F.lit("")), F.lit("")))
         new = refs.select(resolve(F.col("base"), F.col("ref")).alias("path"), F.concat("rank", F.array(F.col("k").cast("long"))).alias("rank")).where("path <> ''")
         new = new.groupBy(key).agg(F.min(F.struct("rank", "path")).alias("f")).select("key", "f.path", "f.rank").join(seen, "key", "left_anti")
-        frontier = written(new, "found")
+        frontier = materialise(new, "found")
         if not frontier.limit(1).count():
             break
         seen = seen.union(frontier.withColumn("hop", F.lit(hop)))
@@ -122,7 +122,7 @@ def system(spark: SparkSession, told: Settings, flags: dict[str, int], window: s
 
 def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All tables of the project file at ``path``; a listed file that is missing is a BuildError."""
-    rows = written(project.project(spark, path), "project")
+    rows = materialise(project.project(spark, path), "project")
     told, folder = settings(rows), path.rpartition("/")[0]
     listed = project.files(rows).select(F.col("ord").cast("long").alias("ord"), "path")
     extra = [(1 << 40 | k, p) for k, p in enumerate((told.contents, told.index)) if p]
@@ -134,19 +134,19 @@ def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     loaded, missing = discovered(listed, stored(spark, folder, told.codepage), [told.contents, told.index])
     if lost := missing.where("explicit").limit(1).collect():
         raise BuildError(f"{lost[0].path} cannot be read")
-    loaded = written(loaded, "loaded")
+    loaded = materialise(loaded, "loaded")
     pages = catalog.ordered_index(loaded.where(is_html(F.col("path"))).select("ord", title(F.col("html")).alias("title"), F.col("path").alias("url")), ["ord"], "topic_id")
     topics = pages.select("topic_id", F.nullif("title", F.lit("")).alias("title"), "url", catalog.in_contents(F.col("url"), F.col("title")).alias("in_contents"))
     n = topics.count()
     sitemaps = [p for p in (told.contents, told.index) if p]
     if sitemaps:
         topics = topics.union(spark.createDataFrame([(n + k, None, p, 2) for k, p in enumerate(sitemaps)], "topic_id long, title string, url string, in_contents int"))
-    topics = written(topics, "topics")
+    topics = materialise(topics, "topics")
     out: dict[str, DataFrame] = {"files": loaded.select("ord", "path", "size"), "missing": missing.where("NOT explicit").select("path")}
 
     def items(file: str) -> DataFrame | None:
         found = loaded.where(ascii_lower(F.col("path")) == file.lower()).select(F.col("path").alias("file"), "html") if file else None
-        return None if found is None or not found.limit(1).count() else written(project.sitemap(found)[0], "items")
+        return None if found is None or not found.limit(1).count() else materialise(project.sitemap(found)[0], "items")
 
     toc, index = items(told.contents), items(told.index)
     if toc is not None and told.yes("binary toc"):
@@ -156,7 +156,7 @@ def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         numbered, topics = catalog.looked_up_or_added(wanted, topics, 2)
         out["toc"] = contents.join(numbered.select("node", "topic_id"), "node", "left")
         out["topic_toc"] = numbered.groupBy("topic_id").agg((F.max("ord") + 4096).alias("toc_pos"))  # the last node of a topic
-        topics = written(topics, "topics")
+        topics = materialise(topics, "topics")
     out["keywords"], out["alinks"], topics = _keywords(loaded, topics, index if told.yes("binary index") else None)
     out["topics"] = topics
     out["urls"] = catalog.first_topics(topics)
@@ -167,8 +167,8 @@ def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     first = out["windows"].orderBy("ord").select("type").first()
     if told.yes("full-text search"):
         runs = fulltext.runs(loaded.where(is_html(F.col("path"))).join(pages.select(F.col("url").alias("path"), "topic_id"), "path"), "topic_id", "html")
-        words = written(fulltext.words(runs), "words")
-        out["postings"], out["doc_freq"], out["fts_stats"] = fulltext.postings(words), fulltext.doc_freq(words), fulltext.statistics(written(runs, "runs"))
+        words = materialise(fulltext.words(runs), "words")
+        out["postings"], out["doc_freq"], out["fts_stats"] = fulltext.postings(words), fulltext.doc_freq(words), fulltext.statistics(materialise(runs, "runs"))
     entries = archive.directory(loaded.select("ord", F.concat(F.lit("/"), F.col("path")).alias("name"), F.lit(1).alias("section"), "size"))
     out["directory"], out["totals"] = entries, archive.totals(entries)
     flags = {"fts": int("postings" in out), "keywords": int(out["keywords"].limit(1).count() > 0), "alinks": int(out["alinks"].limit(1).count() > 0), "toc": int("toc" in out)}
