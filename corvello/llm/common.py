@@ -2,44 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one working partition should hold after an explicit repartition of slim rows.
-ROWS_A_PARTITION = 200_000
-
+from corvello.storage import discard, materialise, shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that all executors share (spark.checkpoint.dir).
+__all__ = ["bounded", "discard", "fold", "hot_limit", "materialise", "shared_dir", "table"]
 
-    Only where the cluster names none (tests on one machine) a folder of our own is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corvello-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Keys with more than one of HOT_SHARE rows are hot; there are fewer than HOT_SHARE of them, whatever the input's size.
+HOT_SHARE = 500
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame below the shared folder and read it again: a cut of the lineage that outlives executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.corvello_path = path
-    return out
+def hot_limit(rows: DataFrame, least: int) -> int:
+    """Rows of a key above which it counts as hot, at least ``least``; counts ``rows``, which should be a written table."""
+    return max(least, -(-rows.count() // HOT_SHARE))
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables of materialise() that nothing reads any more."""
-    for df in frames:
-        if path := getattr(df, "corvello_path", None):
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+def bounded(keys: DataFrame) -> DataFrame:
+    """Keys that are fewer than HOT_SHARE by the choice of hot_limit, for a broadcast."""
+    return F.broadcast(keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,24 +1,29 @@
 """Near-duplicate groups by an inverted join on MinHash signature coordinates.
 
 Documents are sets of distinct five-word shingles; two are linked if the Jaccard similarity of their sets is at least
-0.75.  Copies with equal sets are one class (summed by a digest, so a class of any size is one row), and one document
-stands for it.  Each representative is posted under its COORDINATES coordinate-value pairs.  Two sets of the wanted
-similarity collide in at least MATCHES coordinates but for a chance of 6e-7 at 0.75 exactly (1e-10 at 0.8), hence:
-
-* pairs with one posting cannot collide, and a document with fewer than MATCHES other postings is done;
-* prefix: of the others it needs only its rarest ones, all but MATCHES - 1, so frequent passages are hardly posted;
-* skip: a posting list's members are linked with one leader only, the member that shares most postings with others.
-  A document is first confirmed against the leader that it shares most lists with, which connects most of a group of
-  near copies, however large, with one pair for each.  Lists that are tied by leaders make a cluster; inside it members
-  of its largest component are not held against each other any more, and all others meet in blocks of bounded size,
-  where pairs that are connected by then are skipped, and what leaves a block is a spanning forest, not all its pairs.
-
-All pairs that remain are confirmed on the full shingle sets of the texts.  Components are found with alternating
-large-star and small-star steps over written tables.
-
-Defined results: null or empty texts and texts of white space have an empty set and are linked with nothing, and so
-is a row without doc_id; rows that repeat a doc_id are judged by their own texts, of which the first in no certain
-order stands for the document in pairs; empty tables give no rows; other columns are not read.
+0.75.  Rows with equal sets are one class, known by the set's digest (summed before the shuffle, so a class of any size
+is one row), and one row stands for it.  Each representative is posted under its COORDINATES coordinate-value pairs.
+Two sets of the wanted similarity collide in at least MATCHES coordinates but for a chance of 6e-7 at 0.75 exactly
+(1e-10 at 0.8), hence collisions are counted so:
+
+* values that one representative has cannot collide, and one with fewer than MATCHES others is done;
+* prefix: of the others it needs only its rarest ones, all but MATCHES - 1, so frequent passages are hardly posted.  What
+  the lists of the prefix have begun to count is completed on the two signatures;
+* skip: a list is first merged against one leader only, the member that shares most values with others, and a document
+  goes on with the leader that it meets in most lists.  That connects most of a group of near copies, however large,
+  with one pair for each.  Lists whose members are all connected by then are skipped, and so is in each other list
+  whatever pair is connected already.  The lists that are left tie their members to clusters; a cluster's members meet
+  in blocks of bounded size, of which one holds documents outside the cluster's largest component, and collisions are
+  counted for the pairs of two blocks.
+
+Pairs with at least MATCHES collisions are confirmed on the full shingle sets: only the texts of documents with such a
+pair are fetched, and what leaves a pair of blocks is a spanning forest of its links, not all of them.  Components are
+found with alternating large-star and small-star steps over written tables; hubs are salted.
+
+Defined results: null or empty texts and texts of white space have an empty set and are linked with nothing; a document's
+component_id is the least doc_id of all rows that can be reached from its row, null if none of these has one, so rows
+that repeat a doc_id are judged each by its own text, in whatever order they come; empty tables give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,41 +34,36 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvello.llm.common import discard, materialise
+from corvello.llm.common import bounded, discard, hot_limit, materialise
 
 SHINGLE = 5
 #: Similarity as a fraction of integers, so that the test is exact: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
 COORDINATES = 64
 MATCHES = 30
-#: Coordinates of the longer signature (a byte each) that sorts out pairs within a block; a pair of similarity 0.75
-#: falls short of this many matches with a chance of 6e-8.
-WIDE, WIDE_MATCHES = 256, 155
-#: Members of a block.
-BLOCK = 512
-#: Members that are held against one copy of a leader's text.
+#: Shingles of a block's sets together and members of it, on average at most.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 512
+#: Members that are held against one copy of a leader's text, at least, before its group is dealt to several tasks.
 MEMBERS = 256
+#: Shares that the rows of a hub are dealt to.
+SALTS = 64
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
+    """Hashes of the words that came before; bounded, so that a worker's memory is."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-@lru_cache(1)
-def _hashes() -> _WordHashes:
-    """One for all tasks that a worker runs."""
-    return _WordHashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -83,34 +83,30 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-@lru_cache(2)
-def _factors(n: int) -> np.ndarray:
-    return np.random.default_rng(n).integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+@lru_cache(1)
+def _factors() -> np.ndarray:
+    return np.random.default_rng(COORDINATES).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(found: np.ndarray, n: int = COORDINATES) -> np.ndarray:
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+def signature(found: np.ndarray) -> np.ndarray:
+    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 1024):
-        least = np.minimum(least, (found[at : at + 1024, None] * _factors(n)).min(axis=0))
+        least = np.minimum(least, (found[at : at + 1024, None] * _factors()).min(axis=0))
     return least
 
 
-def wide_signature(found: np.ndarray) -> np.ndarray:
-    return (_mixed(signature(found, WIDE)) & np.uint64(255)).astype(np.uint8)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _hashes()
+    hashes = _WordHashes()
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
             sizes, digests, signatures = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text, hashes)
+            for text in batch.column(2):
+                found = shingles(text.as_py(), hashes)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(signature(found).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))], ["node", "doc_id", "n_shingles", "digest", "signature"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -129,91 +125,109 @@ def _alike(a, b):
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
+def collisions(a: Column, b: Column) -> Column:
+    """Coordinates in which two signatures have the same value."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, salt, b, text) in order: a leader's own text (b is null), then its members' texts."""
-    hashes, leader, own = _hashes(), None, None
+    """Rows (a, salt, b, text) in order: a leader's own text (b is null), then its members' texts, one at a time."""
+    hashes, leader, own = _WordHashes(), None, None
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            found = []
-            for a, salt, b, text in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns), strict=True):
-                if b is None:
-                    if (a, salt) != leader:
-                        leader, own = (a, salt), shingles(text, hashes)
-                elif (a, salt) == leader and similar(own, shingles(text, hashes)):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found = []
+        for a, salt, b, text in zip(*whole.columns, strict=True):
+            a, salt, b = a.as_py(), salt.as_py(), b.as_py()
+            if b is None:
+                leader, own = (a, salt), shingles(text.as_py(), hashes)
+            elif (a, salt) == leader and similar(own, shingles(text.as_py(), hashes)):
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets are similar.  texts: node, text."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    dealt = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), "b")
-    members = dealt.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
-    leaders = dealt.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    """Those of the distinct pairs (a, b) whose full sets are similar; pairs are written.  texts: node, text."""
+    limit = hot_limit(pairs, MEMBERS)
+    # A leader of many is dealt to several tasks; there are few such leaders by the choice of the limit.
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("a", F.ceil(F.col("n") / limit).alias("parts"))
+    dealt = pairs.join(bounded(hubs), "a", "left").select("a", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).alias("salt"), "b")
+    members = dealt.join(texts.hint("merge"), F.col("b") == F.col("node")).select("a", "salt", "b", "text")
+    leaders = dealt.select("a", "salt").distinct().join(texts.hint("merge"), F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     both = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(_confirm, "a long, b long").distinct()
+    return both.mapInArrow(_confirm, "a long, b long")
 
 
-def _forest(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Links between the components of two blocks' documents, (node, component, block, text) each, that join all they can."""
-    hashes = _hashes()
-    node, component, block = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
-    if (component == component[0]).all():
-        return
-    sets = [shingles(r[3], hashes) for r in rows]
-    size, wide = np.array([len(s) for s in sets]), np.array([wide_signature(s) for s in sets])
-    first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    own = block.min() == block.max()
-    for k, x in enumerate(first):
-        others = second[k + 1 :] if own else second
-        others = others[(component[others] != component[x]) & (DENOMINATOR * np.minimum(size[others], size[x]) >= NUMERATOR * np.maximum(size[others], size[x]))]
-        near = (wide[others] == wide[x]).sum(axis=1)
-        order = np.argsort(-near, kind="stable")
-        for y in others[order[: int((near >= WIDE_MATCHES).sum())]]:
-            if component[y] != component[x] and similar(sets[x], sets[y]):
-                component[component == component[y]] = component[x]
-                yield int(node[x]), int(node[y])
+def _by_blocks(work, names: list[str]):
+    """A mapInArrow function: rows (cluster, i, j, ...), in order of these three, as lists of the rows of each (i, j) to ``work``.
 
+    The last column is given to ``work`` one by one as the rows come, as (number, value), so it need not be held.
+    """
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, i, j, node, component, block, text) in order of the first three; links of each pair of blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, hashes = None, [], _WordHashes()
 
-    def packed(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def packed() -> Iterator[pa.RecordBatch]:
+            if rows and (out := work(key, rows)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names)
 
-    key, rows = None, []
-    for whole in batches:
-        for at in range(0, whole.num_rows, 200):
-            for row in zip(*(c.to_pylist() for c in whole.slice(at, 200).columns), strict=True):
-                if row[:3] != key:
-                    if rows:
-                        yield packed(list(_forest(rows)))
-                    key, rows = row[:3], []
-                rows.append(row[3:])
-    if rows:
-        yield packed(list(_forest(rows)))
-
-
-def across(clusters: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between different components of a cluster, enough to join all that are linked.
-
-    clusters: (node, cluster); found: (node, component), a node without one is alone; texts: node, text.
-    Blocks 0 to outer - 1 hold the documents outside the cluster's largest component, the others its members; only
-    pairs of blocks with one of the former are dealt out, each document once to every such pair.
+        for batch in batches:
+            for *head, last in zip(*batch.columns, strict=True):
+                head = [x.as_py() for x in head]
+                if tuple(head[:3]) != key:
+                    yield from packed()
+                    key, rows = tuple(head[:3]), []
+                value = np.array(last.as_py(), np.int64) if pa.types.is_list(last.type) else shingles(last.as_py(), hashes)
+                rows.append((*head[3:], value))
+        yield from packed()
+
+    return run
+
+
+def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows (node, component, block, ...) in the first and in the second block; the same if there is one."""
+    block = np.array([r[2] for r in rows])
+    return np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+
+
+def _retained(key: tuple, rows: list[tuple]) -> list[tuple]:
+    """Rows (cluster, i, j, node, component, block) of documents that have at least MATCHES collisions with one of another component."""
+    component, size = (np.array([r[k] for r in rows]) for k in (1, 3))
+    if (component == component[0]).all():
+        return []
+    signatures = np.array([r[4] for r in rows])
+    first, second = _sides(rows)
+    kept, there = np.zeros(len(rows), bool), signatures[second]
+    for x in first:
+        near = (there == signatures[x]).sum(axis=1) >= MATCHES
+        near &= (component[second] != component[x]) & (DENOMINATOR * np.minimum(size[second], size[x]) >= NUMERATOR * np.maximum(size[second], size[x]))
+        kept[x] |= near.any()
+        kept[second[near]] = True
+    return [(*key, *rows[k][:3]) for k in np.flatnonzero(kept)]
+
+
+def _forest(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links between components of two blocks' documents (node, component, block, set) that join all that are linked.
+
+    A set's intersections with all sets of the other block come from one merge with the inverted index of that block.
     """
-    nodes = texts.select("node").join(clusters, "node", "left").join(found, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("component", "node").alias("component"))
-    sizes = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("in"), F.sum("n").alias("n"))
-    sizes = sizes.where(F.col("n") > F.col("in")).select("cluster", "largest", blocks(F.col("n") - F.col("in")).alias("outer"), blocks(F.col("in")).alias("inner"))
-    placed = nodes.join(sizes, "cluster")
-    outside, hashed = F.col("component") != F.col("largest"), F.xxhash64("node")
-    placed = placed.withColumn("block", F.when(outside, F.pmod(hashed, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hashed, F.col("inner"))).cast("int"))
-    last = F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
-    dealt = placed.select("node", "cluster", "component", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
-    rows = dealt.join(texts, "node").select("cluster", "i", "j", "node", "component", "block", "text")
-    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_within, "a long, b long").distinct()
+    component, sets = np.array([r[1] for r in rows]), [r[3] for r in rows]
+    size = np.array([len(s) for s in sets])
+    first, second = _sides(rows)
+    held, of = np.concatenate([sets[k] for k in second]), np.repeat(second, size[second])
+    order = np.argsort(held, kind="stable")
+    held, of = held[order], of[order]
+    out = []
+    for x in first:
+        both = np.zeros(len(rows), np.int64)
+        for at in range(0, size[x], 2048):
+            some = sets[x][at : at + 2048]
+            low, high = np.searchsorted(held, some, "left"), np.searchsorted(held, some, "right")
+            n = high - low
+            both += np.bincount(of[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
+        for y in np.flatnonzero((DENOMINATOR * both >= NUMERATOR * (size + size[x] - both)) & (component != component[x]) & (both > 0)):
+            if component[y] != component[x]:
+                component[component == component[y]] = component[x]
+                out.append((rows[x][0], rows[y][0]))
+    return out
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -221,15 +235,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large-star and small-star steps.  Each round is written, so no lineage grows; the driver sees sums only.
     """
+
+    def with_least(pairs: DataFrame, limit: int) -> DataFrame:
+        """Pairs (u, v) with m, the least v of their u; the rows of a u of more than ``limit`` are dealt to SALTS tasks."""
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = bounded(least.where(F.col("n") > limit).select("u", F.lit(True).alias("hub")))
+        salted = pairs.join(hubs, "u", "left").select("u", "v", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+        every = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        return salted.join(least.select("u", "m", F.explode(every).alias("salt")).hint("merge"), ["u", "salt"])
+
     stars, before = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name), None
     while True:
+        limit = 2 * hot_limit(stars, 1000)
         both = stars.union(stars.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.where("v > m").select("v", "m")).distinct()
-        after = materialise(small, name)
+        large = with_least(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
+        joined = with_least(large, limit)
+        after = materialise(joined.select("u", F.col("m").alias("v")).union(joined.where("v > m").select("v", "m")).distinct(), name)
         sums = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         discard(stars)
         stars = after
@@ -238,41 +259,95 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = sums
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    base = materialise(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, signature array<long>"), "sketch")
-    classes = base.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
-
-    # Postings that two representatives share at least, and of these each one's rarest.
-    nodes = base.join(classes, (base.digest == classes.digest) & (base.doc_id == F.col("node"))).select("node", "n_shingles", "signature")
-    posted = nodes.select("node", "n_shingles", F.posexplode("signature")).select("node", "n_shingles", F.xxhash64("pos", "col").alias("token"))
-    counted = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = posted.join(counted, "token").groupBy("node").agg(F.max("n_shingles").alias("size"), F.sum(F.log("n")).alias("weight"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))  # 64 at most
+def _posts(signatures: DataFrame) -> DataFrame:
+    """(node, size, weight, token): the coordinate-value pairs of each representative's prefix.  Written."""
+    posted = signatures.select("node", "n_shingles", F.posexplode("signature")).select("node", "n_shingles", F.xxhash64("pos", "col").alias("token"))
+    counted = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "values")
+    shared = posted.join(counted.hint("merge"), "token").groupBy("node").agg(F.max("n_shingles").alias("size"), F.sum(F.log("n")).alias("weight"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))  # 64 at most
     rarest = shared.where(F.size("shared") >= MATCHES).select("node", "size", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)).alias("post"))
     posts = materialise(rarest.select("node", "size", "weight", F.col("post.token").alias("token")), "posts")
+    discard(counted)
+    return posts
+
+
+def _led(posts: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(a, b): each representative b with the leader a that it meets in most lists, if they have MATCHES collisions.  Written."""
+    leaders = materialise(posts.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("leader")), "leaders")
+    met = posts.join(leaders.hint("merge"), "token").select(F.col("node").alias("b"), F.col("leader.node").alias("a")).where("a <> b")
+    best = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("lists")).groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
+    side = lambda n: signatures.select(F.col("node").alias(n), F.col("n_shingles").alias(f"{n}_size"), F.col("signature").alias(f"{n}_signature")).hint("merge")
+    both = best.join(side("b"), "b").join(side("a"), "a")
+    pairs = materialise(both.where(_alike(F.col("a_size"), F.col("b_size")) & (collisions(F.col("a_signature"), F.col("b_signature")) >= MATCHES)).select("a", "b"), "pairs")
+    discard(leaders)
+    return pairs
+
+
+def _clusters(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, size, component, cluster) of the members of lists that two components share.  Written."""
+    labelled = materialise(posts.select("node", "size", "token").join(found.hint("merge"), "node", "left").select("node", "size", "token", F.coalesce("component", "node").alias("component")), "lists")
+    shared = materialise(labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "low"), "open-lists")
+    open_ = materialise(labelled.join(shared.hint("merge"), "token").select("node", "size", "component", "low").distinct(), "open")
+    ties = components(open_.select(F.col("component").alias("a"), F.col("low").alias("b")), "ties")
+    out = open_.select("node", "size", "component").distinct().join(ties.toDF("component", "cluster").hint("merge"), "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
+    out = materialise(out, "clusters")
+    discard(labelled, shared, open_, ties)
+    return out
 
-    # Each list's leader is the member that shares most postings; near copies' leader is the one nearest to all others.
-    leaders = posts.groupBy("token").agg(F.max(F.struct("weight", F.col("node").alias("a"), "size")).alias("leader"))
-    led = posts.join(leaders, "token").where(F.col("node") != F.col("leader.a"))
-    stars = materialise(led.groupBy("node", F.col("leader.a").alias("a")).agg(F.count(F.lit(1)).alias("lists"), F.max(_alike(F.col("size"), F.col("leader.size"))).alias("alike")), "stars")
-    clusters = components(stars.select("a", F.col("node").alias("b")), "clusters").toDF("node", "cluster")
-    members = clusters.select("node").union(clusters.select("cluster")).distinct()
-    # One plan at every size: members grow with the corpus, so they are not broadcast where they happen to be few.
-    texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    texts = materialise(texts.dropDuplicates(["node"]), "texts")
-
-    best = stars.where("alike").groupBy("node").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
-    links = materialise(confirmed(best.select("a", F.col("node").alias("b")), texts), "links")
+
+def _across(clusters: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components of one cluster, enough to join all that are linked."""
+    weight = F.greatest("size", F.lit(BLOCK_SHINGLES // BLOCK_MEMBERS))
+    blocks = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
+    sizes = clusters.groupBy("cluster", "component").agg(F.sum(weight).alias("w"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("w", "component")).alias("largest"), F.max("w").alias("in"), F.sum("w").alias("w"))
+    sizes = materialise(sizes.select("cluster", "largest", blocks(F.col("w") - F.col("in")).alias("outer"), blocks(F.col("in")).alias("inner")), "sizes")
+    outside, hashed = F.col("component") != F.col("largest"), F.xxhash64("node")
+    block = F.when(outside, F.pmod(hashed, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hashed, F.col("inner"))).cast("int")
+    last = F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
+    placed = clusters.join(sizes.hint("merge"), "cluster").withColumn("block", block).withColumn("last", last)
+    # Blocks 0 to outer - 1 are those outside the largest component; each of them meets all blocks, itself included.
+    dealt = placed.join(signatures.select("node", "signature").hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = dealt.select("cluster", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "node", "component", F.col("block").cast("long"), "size", "signature")
+    key = ["cluster", "i", "j"]
+    in_blocks = lambda rows: rows.repartition(*key).sortWithinPartitions(*key)
+    names = [*key, "node", "component", "block"]
+    kept = materialise(in_blocks(dealt).mapInArrow(_by_blocks(_retained, names), ", ".join(f"{n} long" for n in names)), "retained")
+    links = in_blocks(kept.join(texts.hint("merge"), "node").select(*names, "text")).mapInArrow(_by_blocks(_forest, ["a", "b"]), "a long, b long")
+    links = materialise(links, "links")
+    discard(sizes, kept)
+    return links
+
+
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What rows (node, doc_id, text; node is unique; a written table) have: (node, doc_id, n_shingles, digest) of each row, and
+    (digest, component_id) of each distinct set.  Written."""
+    base = materialise(rows.select("node", "doc_id", "text").mapInArrow(_sketch, "node long, doc_id long, n_shingles long, digest binary, signature array<long>"), "sketch")
+    sets = materialise(base.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "sets")
+    signatures = materialise(base.select("node", "n_shingles", "signature").join(sets.select("node").hint("merge"), "node", "left_semi"), "signatures")
+    posts = _posts(signatures)
+    texts = materialise(rows.select("node", "text").join(posts.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
+
+    pairs = _led(posts, signatures)
+    links = materialise(confirmed(pairs, texts), "links")
     found = components(links)
-    more = materialise(across(clusters, found, texts), "links")
-    named = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    clusters = _clusters(posts, found)
+    more = _across(clusters, signatures, texts)
+    named = more.join(found.toDF("a", "ca").hint("merge"), "a", "left").join(found.toDF("b", "cb").hint("merge"), "b", "left")
     upper = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    moved = found.join(upper.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    after = materialise(moved.union(upper.join(found.select("node"), "node", "left_anti")), "components")
-    discard(posts, stars, clusters, texts, links, found, more, upper)
-
-    component = F.coalesce("component", classes.node, "doc_id")
-    rows = base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(after, "node", "left")
-    out = materialise(rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "groups")
-    discard(base, after)
-    return out
+
+    linked = sets.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).join(upper.toDF("component", "to").hint("merge"), "component", "left")
+    linked = materialise(linked.select("digest", "least", F.coalesce("to", "component").alias("component")), "linked")
+    least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = materialise(linked.join(least.hint("merge"), "component").select("digest", "component_id"), "component-ids")
+    discard(sets, signatures, posts, texts, pairs, links, found, clusters, more, upper, linked, least)
+    return base.select("node", "doc_id", "n_shingles", "digest"), named
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
+    base, named = classes(rows)
+    discard(rows)
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = base.join(named.hint("merge"), "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -69,6 +69,34 @@ def test_edges(spark):
     assert sorted(((r.doc_id or 0), r.n_shingles, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (0, 4, 3, False), (3, 4, 3, True), (5, 4, 3, False), (5, 4, 3, False), (9, 1, 9, True)]
 
 
+def test_repeated_ids_in_any_order(spark):
+    rng = random.Random(4)
+    a, c = (" ".join(f"{x}{rng.randrange(1000)}" for _ in range(80)) for x in "ac")
+    rows = [(1, a), (1, c), (2, a + " more"), (3, None), (3, "x y"), (4, c + " end")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 1)]
+
+
+def test_a_family_that_its_leader_does_not_hold(spark):
+    # A chain: each text differs from the one before it in a few words, so ends are far from each other.
+    rng = random.Random(6)
+    words, rows = [f"w{rng.randrange(10_000)}" for _ in range(120)], []
+    for i in range(150):
+        words[(i * 2) % 120] = f"n{i}"
+        rows.append((1000 - i, " ".join(words)))
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {v[1] for v in brute(rows).values()}
+    check(spark, rows)
+
+
+def test_blocks_of_several_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 4)
+    test_families_passages_and_short_texts(spark)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
