@@ -7,6 +7,8 @@ ones then go, longest first, where they leave the smallest gap; new sequences ar
 The plan is a list of runs of alike sequences.  Pieces are numbered within their length (salted, so that a length that
 a third of all pieces share is numbered by many tasks) and look up their place in the plan by that number.
 
+Texts are tokenised as the tokenizer does by default, so the strings of its special tokens become these tokens.
+
 Defined results: null text counts as empty; an empty text is the end token alone; of documents of the same doc_id each
 row is packed; an empty table gives no rows; other columns are not read.
 """
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvello.llm.common import materialise
+from corvello.llm.common import materialise, with_text
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length and salt on average at most.
 ROWS_A_BUCKET = 2000
 #: Entries of a worker's cache of chunks; a full cache is emptied.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 
 #: White space other than blank, tab and line ends: whether the tokenizer's library takes it as such is left to it.
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
@@ -56,7 +58,6 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
 
@@ -88,15 +89,15 @@ class ChunkTokenizer:
                 cache[chunk] = self.packed(enc.ids)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 500):
-            chunks = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts[at : at + 500]]
+        for at in range(0, len(texts), 200):
+            chunks = [None if t and _ODD_SPACE.search(t) else (t or "").split() for t in texts[at : at + 200]]
             new = set().union(*(c for c in chunks if c)) - self.cache.keys()
             if len(self.cache) + len(new) > CACHE_ENTRIES:
                 self.cache.clear()
                 new = set().union(*(c for c in chunks if c))
             self.learn(new)
             get = self.cache.__getitem__
-            for text, parts in zip(texts[at : at + 500], chunks, strict=True):
+            for text, parts in zip(texts[at : at + 200], chunks, strict=True):
                 yield self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if parts is None else b"".join(map(get, parts))
 
 
@@ -126,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return with_text(docs, ["doc_id"])[0].mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
