@@ -8,11 +8,11 @@ above one half), and their largest one and their sum give its score through a lo
 documents which the chain has not seen.
 
 Fitting uses a bounded sample: TOXIC and CLEAN labelled documents of at most TRAIN_CHARS characters, those with the
-least hashes of doc_id.  Scoring reads every whole text and shuffles nothing; the model is a vector of FEATURES numbers.
+least hashes of doc_id; of these, the chain learns from WINDOWS windows each at most.  Scoring reads every whole text and shuffles nothing; the model is a vector of FEATURES numbers.
 
 Defined results: null, empty and wordless texts have no spans and get the score of a document without toxic tokens;
-without labels of both kinds every score is 0; labels that are null or whose document is missing are not used, repeated
-ones count each; repeated rows are scored alike; columns named as the results are replaced.
+without labels of both kinds every score is 0; labels that are null or whose document is missing are not used, equal
+labels and equal rows count once; repeated rows are scored alike; columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvello.llm.common import kinds, with_text
+
 TOXIC, CLEAN, TRAIN_CHARS = 3000, 6000, 20_000
+#: Windows of a clean document that look toxic, and windows of any document, that the chain learns from.
+CLEAN_WINDOWS, WINDOWS = 3, 50
 FEATURES = 1 << 18
 WINDOW = 40
 STEPS = 60
@@ -108,7 +112,7 @@ class WordOdds(dict):
         self.weight = model.weights.tolist().__getitem__
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = odds = math.exp(max(-30.0, min(30.0, sum(map(self.weight, features(word))))))
         return odds
@@ -198,9 +202,9 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         bad = [y == 1 and marks.get(w, False) for w in low]
         starts = [max(0, i - WINDOW // 2) for i, b in enumerate(bad) if b] if any(bad) else [] if y else [zlib.crc32(str(k).encode()) % max(1, len(low) - WINDOW)]
         if not y:  # words of clean documents that look like toxic ones
-            starts += [max(0, i - WINDOW // 2) for i, w in enumerate(low) if marks.get(w)][:3]
+            starts += [max(0, i - WINDOW // 2) for i, w in enumerate(low) if marks.get(w)][:CLEAN_WINDOWS]
         past = -1
-        for at in starts[:50]:
+        for at in starts[:WINDOWS]:
             if at < past:
                 continue
             past = at + WINDOW
@@ -227,11 +231,12 @@ def fit(sample: list[tuple[str, int]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample; docs and labels are what may be learnt from, by doc_id."""
     label = F.col("toxic") == 1
-    some = [labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(cond).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for cond, n in ((label, TOXIC), (~label, CLEAN))]
+    some = [labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(cond).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for cond, n in ((label, TOXIC), (~label, CLEAN))]
     ids = F.broadcast(some[0].union(some[1]))  # TOXIC + CLEAN rows at most
-    rows = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.toxic, r.text))
-    return fit([(r.text, r.toxic) for r in rows[: 2 * (TOXIC + CLEAN)]])
+    found = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "toxic").distinct()
+    # A doc_id may have any number of texts; what reaches the driver is bounded before it does.
+    rows = found.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic", "text").limit(TOXIC + CLEAN).collect()
+    return fit([(r.text, r.toxic) for r in rows])
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -245,12 +250,12 @@ def scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
         odds = WordOdds(model)
         for batch in batches:
             out, spans = [], []
-            for text in batch.column(n).to_pylist():
+            for value in batch.column(at):
+                text = value.as_py()
                 each, most, total = marginals(list(map(odds.__getitem__, words(text))), model)
                 out.append(score(most, total, model))
                 spans.append([{"start": m.start(), "end": m.end()} for m, z in zip(_WORD.finditer(text), each, strict=True) if z > 1] if most > 1 else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32()), pa.array(spans, span)], names)
 
-    read = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:n]]
-    return read.mapInArrow(scored, ", ".join([*kinds, "score double, predicted int, spans array<struct<start:int,end:int>>"]))
+    read, at = with_text(docs, keep)
+    return read.mapInArrow(scored, ", ".join([*kinds(read, keep), "score double, predicted int, spans array<struct<start:int,end:int>>"]))

@@ -66,13 +66,49 @@ def test_neighbours_edges(spark):
     assert ann.nearest(found.limit(0), found.limit(0)).count() == 0
 
 
+def _recall(rows, got, k=5):
+    """Share of the true neighbours' scores that were reached, by brute force; rows: (vec_id, unit vector)."""
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = total = 0
+    for q in {r.query_id for r in got}:
+        near = v @ v[ids == q][0]
+        want = sorted(near[ids != q])[-k:]
+        hits, total = hits + sum(r.score >= want[0] - 1e-9 for r in got if r.query_id == q), total + len(want)
+    return hits / total
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_neighbours_over_several_shards(spark, monkeypatch, clustered):
+    monkeypatch.setattr(ann, "LEAST_SHARD", 600)
+    monkeypatch.setattr(ann, "SHARD_GROWTH", 1)
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 24)) * (4 if clustered else 0)
+    rows = [(i, (centres[i % 12] + rng.normal(size=24)).tolist()) for i in range(1, 4001)] + [(100, [0.0] * 24)]
+    found = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.nearest(found, found.where("vec_id % 50 = 0")).collect()
+    assert len(got) == 80 * 5 and _recall(rows[:-1], got) >= 0.9
+
+
+def test_repeated_queries_and_own_copies(spark):
+    rng = np.random.default_rng(5)
+    v = [1.0, 0.2, 0.0]
+    rows = [(50, v)] * 12 + [(50, [0.0, 1.0, 1.0])] + [(i, v) for i in (60, 40, 70)] + [(i, rng.normal(size=3).tolist()) for i in range(1, 30)]
+    found = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.nearest(found, found.where("vec_id = 50")).collect()
+    # Two queries: the repeated one, and the same id with another vector.
+    assert sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and not any(r.vec_id == 50 for r in got)
+    assert [(r["rank"], r.vec_id) for r in sorted(got) if math.isclose(r.score, 1.0)] == [(1, 40), (2, 60), (3, 70)]
+
+
 def test_toxicity_of_held_out_documents(spark):
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
     held = [(got[r.doc_id], r.toxic) for r in labels if got[r.doc_id].held_out]
     flagged = [y for g, y in held if g.predicted]
     assert all(g.predicted == int(g.score >= 0.7) and 0 <= g.score <= 1 for g in got.values())
-    assert sum(flagged) >= 0.9 * len(flagged) and sum(flagged) >= 0.6 * sum(y for _, y in held)
+    assert sum(flagged) >= 0.9 * len(flagged) and sum(flagged) >= 0.65 * sum(y for _, y in held)
 
 
 def test_chain_marginals_and_edges(spark):
@@ -105,7 +141,7 @@ def test_packing_round_trip(spark, documents):
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     tokenizer.encode_special_tokens = True
-    rows = [(r["doc_id"], r["text"]) for r in documents] + [(9001, None), (9002, ""), (9003, "\x1c odd space <|endoftext|> don't İ"), (9004, "long words " * 6000), (9004, "long words " * 6000), (None, "x")]
+    rows = [(r["doc_id"], r["text"]) for r in documents] + [(9001, None), (9002, ""), (9003, "\x1c odd space <|endoftext|> don't İ"), (9004, "long words " * 6000), (9004, "long words " * 6000), (9005, "a<|startoftext|>b <|endoftext|><|endoftext|> x <|ENDOFTEXT|>"), (None, "x")]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS length"), queries.tokenizer_path()).collect()
     want = []
     for i, text in rows:
