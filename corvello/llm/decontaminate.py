@@ -5,13 +5,16 @@ benchmark; no other can match anything) by their first DEPTH words, by doubling
 every benchmark item is then looked up by binary search, all of them at once; the ranges found are the occurrences of
 its window, and windows that follow each other on both sides join to the longest verbatim match.
 
-The benchmark is read in blocks of bounded size, each of which goes through the documents in its own step of the same
-task, so neither the benchmark's nor the table's size bounds the job, and nothing is shuffled at all.
+The benchmark is read in blocks of bounded size.  CHAIN of them go through the documents in one pass, each in its own
+step of the same tasks; if there are more, what a pass found is written and the next pass goes on from there.  So the
+driver and a task hold CHAIN blocks, one more while they are made, and a shard, whatever the benchmark's and the
+table's size, and nothing is shuffled.
 
 Words: A-Z lower-cased, then runs of letters a-z, digits and all characters from U+0080.  A window is ``width``
 consecutive words of an item, or the whole item if it has fewer.  Defined results: null or empty text has no words and
-no hits; a benchmark row without id or words has no windows; rows that repeat an item_id are parts of one item;
-repeated documents are judged alike; empty tables give no rows or no hits; columns named as the results are replaced.
+no hits; a benchmark row without words has no windows, one without id has windows that hit but is no item; rows that
+repeat an item_id are parts of one item; repeated documents are judged alike; empty tables give no rows or no hits;
+columns of the documents that are named as the results are replaced by scan, and kept by decontaminate.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvello.llm.common import discard, hidden, kinds, materialise, with_text
+
 WIDTH = 10
 DEPTH = 16
-#: Words of a shard: some 100 MB while it is sorted.
-SHARD_WORDS = 1 << 21
+#: Words of a shard, or those of one longer document: some 30 MB while it is sorted.
+SHARD_WORDS = 1 << 18
 #: Words of a block of the benchmark, which is sent with the tasks: some 20 MB.
 BLOCK_WORDS = 1 << 19
+#: Blocks that go through the documents in one pass.
+CHAIN = 4
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -58,9 +65,9 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, width: int = WIDTH) -> Iterator[Block]:
-    """The benchmark in blocks of BLOCK_WORDS words or one longer item; one block at a time is on the driver."""
+    """The benchmark in blocks of BLOCK_WORDS words or one longer item, made one after the other."""
     items, n = [], 0
-    for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), "text").toLocalIterator():
+    for row in benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string"), "text").toLocalIterator():
         if ws := words(row.text):
             if n and n + len(ws) > BLOCK_WORDS:
                 yield Block(items, width)
@@ -146,7 +153,7 @@ class _Shard:
             mine = np.flatnonzero(doc == d) if len(doc) < 1000 else self._of(doc, d)
             spans = sorted(zip((start[mine] - begins[d]).tolist(), (start[mine] - begins[d] + length[mine]).tolist(), strict=True))
             best = max(spans, key=lambda s: (s[1] - s[0], -s[0]))
-            out[d] = (merged(spans), {block.items[k] for k in np.unique(item[mine]).tolist()}, best[1] - best[0], best[0])
+            out[d] = (merged(spans), {block.items[k] for k in np.unique(item[mine]).tolist()} - {None}, best[1] - best[0], best[0])
         return out
 
     def _of(self, doc: np.ndarray, d: int) -> np.ndarray:
@@ -172,29 +179,36 @@ _STATE = {"__hits": pa.list_(pa.int64()), "__items": pa.list_(pa.string()), "__l
 _SQL = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>"}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WIDTH, text: str = "text") -> DataFrame:
     """Columns ``keep`` of every document (all, unless given), with what of the benchmark occurs in it."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
-    frame = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields]
-    todo = list(blocks(benchmark, width)) or [Block([], width)]
-    for k, block in enumerate(todo):
-        last = k == len(todo) - 1
-        named = ([*zip(keep, kinds)] if last else [*zip([*keep, "__text"], kinds)]) + [(n, f"{n} {_SQL[t]}") for n, t in (RESULTS if last else _STATE).items()]
-        frame = frame.mapInArrow(_step(block, len(keep), k > 0, last, [n for n, _ in named]), ", ".join(kind for _, kind in named))
+    frame, at = with_text(docs, keep, text)
+    base, held, read, written = frame.columns, blocks(benchmark, width), 0, None
+    block = next(held)
+    while block:
+        after = next(held, None)
+        names, found = (keep, RESULTS) if after is None else (base, _STATE)
+        step = _step(block, at, len(base) if read else 0, len(names), after is None, [*names, *found])
+        frame = frame.mapInArrow(step, ", ".join([*kinds(frame, names), *(f"{n} {_SQL[t]}" for n, t in found.items())]))
+        read, block = read + 1, after
+        if after and read % CHAIN == 0:
+            before, written = written, materialise(frame, "hits")
+            discard(before)
+            frame = written
     return frame
 
 
-def _step(block: Block, n: int, later: bool, last: bool, names: list[str]):
-    """A task's pass with one block: columns 0 to n - 1 and the text, after an earlier step its findings too."""
+def _step(block: Block, at: int, state: int, n: int, last: bool, names: list[str]):
+    """A task's pass with one block: the text is column ``at``, what earlier steps found begins at ``state`` (0: nothing
+    yet), and the first ``n`` columns go on."""
 
     def finished(held: list[pa.RecordBatch], shard: _Shard) -> Iterator[pa.RecordBatch]:
-        found, at = shard.results(), 0
+        found, k = shard.results(), 0
         for batch in held:
-            mine, counts = found[at : at + batch.num_rows], shard.lengths[at : at + batch.num_rows]
-            at += batch.num_rows
-            if later:
-                mine = [joined(x, y) for x, y in zip(mine, zip(*(c.to_pylist() for c in batch.columns[n + 1 :]), strict=True), strict=True)]
+            mine, counts = found[k : k + batch.num_rows], shard.lengths[k : k + batch.num_rows]
+            k += batch.num_rows
+            if state:
+                mine = [joined(x, y) for x, y in zip(mine, zip(*(c.to_pylist() for c in batch.columns[state:]), strict=True), strict=True)]
             if last:
                 items = [sorted(x[1]) for x in mine]
                 hits = [sum(x[0][1::2]) - sum(x[0][::2]) for x in mine]
@@ -202,21 +216,21 @@ def _step(block: Block, n: int, later: bool, last: bool, names: list[str]):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, t) for c, t in zip(columns, RESULTS.values(), strict=True))], names)
             else:
                 columns = [[x[0] for x in mine], [sorted(x[1]) for x in mine], [x[2] for x in mine], [x[3] for x in mine]]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *(pa.array(c, t) for c, t in zip(columns, _STATE.values(), strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, t) for c, t in zip(columns, _STATE.values(), strict=True))], names)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard, size = [], _Shard(block), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                held.append(batch)
-                for text in batch.column(n).to_pylist():
-                    ws = words(text)
-                    shard.add(ws)
-                    size += len(ws)
+        for batch in batches:
+            begin = 0
+            for k, text in enumerate(batch.column(at)):
+                ws = words(text.as_py())
+                shard.add(ws)
+                size += len(ws)
                 if size >= SHARD_WORDS:
-                    yield from finished(held, shard)
-                    held, shard, size = [], _Shard(block), 0
+                    yield from finished([*held, batch.slice(begin, k + 1 - begin)], shard)
+                    held, shard, size, begin = [], _Shard(block), 0, k + 1
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
         if held:
             yield from finished(held, shard)
 
@@ -232,4 +246,5 @@ def joined(a: tuple, b: tuple) -> tuple:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the documents in which a window of the benchmark occurs."""
-    return scan(docs, benchmark, width=width).where("NOT contaminated").select(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS))
+    frame, text, columns = hidden(docs)
+    return scan(frame, benchmark, frame.columns, width, text).where("NOT contaminated").select(*columns)

@@ -34,11 +34,12 @@ def run(spark, rows, items):
     return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got}, got
 
 
-@pytest.mark.parametrize("block", [d.BLOCK_WORDS, 120])
-def test_documents(spark, documents, monkeypatch, block):
+@pytest.mark.parametrize(("block", "shard"), [(d.BLOCK_WORDS, d.SHARD_WORDS), (250, 3000)])
+def test_documents(spark, documents, monkeypatch, block, shard):
     import pyarrow.parquet as pq
 
     monkeypatch.setattr(d, "BLOCK_WORDS", block)
+    monkeypatch.setattr(d, "SHARD_WORDS", shard)
     items = [(r["item_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/benchmark.parquet").to_pylist()]
     rows = [(r["doc_id"], r["text"]) for r in documents]
     # Passages in other clothes: changed case and punctuation, one word short of a window, several items in a document.
@@ -58,14 +59,14 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "z " * 25), (4, "q " * 10), (5, "y " * 100_000 + "a b c d e f g h i j k"), (6, "a b c d e\x00f g h i j")]
     got, found = run(spark, rows, items)
     none = hashlib.sha256(b"").hexdigest()
-    assert got[1] == (0, 0, 0, none, False) == got[2] and got[4] == (10, 0, 0, none, False)
+    assert got[1] == (0, 0, 0, none, False) == got[2] and got[4] == (10, 10, 0, none, True)
     assert got[3][:3] == (25, 25, 1) and got[5][:3] == (100_011, 11, 1) and got[6][:3] == (10, 10, 1)
     longest = {r.doc_id: (r.longest_match, r.longest_start) for r in found}
     assert longest[5] == (11, 100_000) and longest[1] == (0, None)
     assert run(spark, [], items)[1] == [] and run(spark, rows, [])[0][3] == (25, 0, 0, none, False)
     docs = spark.createDataFrame([(1, "z " * 12, 5), (1, "fine", 6), (None, "fine", 7)], "doc_id long, text string, n_hit long")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert sorted(r.text for r in d.decontaminate(docs, bench).collect()) == ["fine", "fine"]
+    assert sorted((r.text, r.n_hit) for r in d.decontaminate(docs, bench).collect()) == [("fine", 6), ("fine", 7)]
 
 
 def test_suffixes_are_in_order():
