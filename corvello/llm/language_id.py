@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvello.llm.common import kinds, with_text
+
 #: Numbers of characters: 0 for all but letters, 1-26 for a-z, 27-58 for the small letters of Latin-1, and for every
 #: other letter its code point.  A trigram of numbers below ALPHABET is coded in 18 bits, any other one in 63 bits and
 #: below zero.
@@ -31,7 +33,7 @@ DIMENSIONS = 1024
 SEED = 20_261
 _WIDE, _MASK, _SIGN = 21, (1 << 21) - 1, np.int64(-(1 << 63))
 #: Other trigrams that a task counts for a language before it adds them to the bundle, and vectors made at once.
-_HELD, _BLOCK = 65_536, 4096
+_HELD, _BLOCK = 65_536, 1024
 
 
 @lru_cache(1)
@@ -74,7 +76,7 @@ def trigram_vectors(grams: np.ndarray) -> np.ndarray:
 class _Vectors:
     """Trigram vectors made so far, as rows of one matrix, at most ``most`` of them."""
 
-    def __init__(self, most: int = 16_384) -> None:
+    def __init__(self, most: int = 12_288) -> None:
         self.row, self.wide = np.full(ALPHABET**3, -1, np.int32), {}
         self.rows, self.n, self.most = np.empty((0, DIMENSIONS), np.float32), 0, most
 
@@ -92,7 +94,7 @@ class _Vectors:
             if self.n + len(new) > self.most:
                 return trigram_vectors(grams)
             if self.n + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows[: self.n], np.empty((min(self.most, 2 * (self.n + len(new))) - self.n, DIMENSIONS), np.float32)])
+                self.rows = np.concatenate([self.rows[: self.n], np.empty((min(self.most, self.n + len(new) + _BLOCK) - self.n, DIMENSIONS), np.float32)])
             self.rows[self.n : self.n + len(new)] = trigram_vectors(new)
             own, places = new >= 0, np.arange(self.n, self.n + len(new))
             self.row[new[own]] = places[own]
@@ -134,8 +136,8 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums[lang] = sums.get(lang, 0) + bundled(np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), np.float64, len(held)))
 
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams = trigrams(text)
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            grams = trigrams(text.as_py())
             if len(grams):
                 # Each document weighs as much as the next; else a few long ones would be the profile.
                 found, n = np.unique(grams, return_counts=True)
@@ -163,7 +165,7 @@ def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     What reaches the driver is one bundle for each language, whatever the input's size.
     """
     sums = (
-        labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+        with_text(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), ["text", "lang"])[0]
         .mapInArrow(_bundles, "lang string, at int, weight double")
         .groupBy("lang", "at").agg(F.sum("weight").alias("weight"))
         .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("bundle"))
@@ -182,8 +184,8 @@ def cosines(text: str | None, profiles: np.ndarray, vectors=trigram_vectors) ->
     return profiles @ (total / max(float(np.linalg.norm(total)), 1e-12))
 
 
-def identify(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all, unless given) with lang_pred and score, which come from column text alone.
+def identify(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all, unless given) with lang_pred and score, which come from column ``text`` alone.
 
     Columns of those two names that ``docs`` may have are replaced.
     """
@@ -195,13 +197,12 @@ def identify(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: list
         vectors = _Vectors()
         for batch in batches:
             lang, score = [], []
-            for text in batch.column(n).to_pylist():
-                found = cosines(text, profiles, vectors)
+            for text in batch.column(at):
+                found = cosines(text.as_py(), profiles, vectors)
                 best = None if found is None else int(found.argmax())
                 lang.append("und" if best is None else langs[best])
                 score.append(0.0 if best is None else min(1.0, max(0.0, float(found[best]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
 
-    read = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:n]]
-    return read.mapInArrow(scored, ", ".join([*kinds, "lang_pred string, score double"]))
+    read, at = with_text(docs, keep, text)
+    return read.mapInArrow(scored, ", ".join([*kinds(read, keep), "lang_pred string, score double"]))
