@@ -1,21 +1,25 @@
 """Personal data by patterns and by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans are the leftmost non-overlapping matches of four kinds of identifiers that pass their checks.  They seed the
-bootstrapping: the words before and after identifiers are lexical patterns, typed by kind; a pattern's confidence is
-the share of all the word's occurrences in the corpus at which known identifiers of the kind stand, and an unknown
-token of a kind's shape gets the score 1 - product of (1 - confidence) over the patterns that it occurs with.  Tokens
-that score high become known, patterns are scored again, and so on until nothing new is accepted; the tokens known at
-the end are spans wherever they stand.  Candidates are unbroken and spaced numbers, identifiers with letters and digits
-(of kind card or phone, whichever context accepts them) and forms of e-mail addresses that are no base span.  Iterations run over the table of identifier-like occurrences; the corpus is read twice, for
-occurrences and for word counts, which are summed before the shuffle.
+bootstrapping: the one to GRAM words before and after identifiers are lexical patterns, typed by side and kind; a
+pattern's confidence is the share of all its occurrences in the corpus at which known identifiers of the kind stand, and
+an unknown token of a kind's shape gets the score 1 - product of (1 - confidence) over the strongest pattern of either
+side that it occurs with.  Tokens that score high become known, patterns are scored again, and so on until nothing new is
+accepted; the tokens known at the end are spans wherever they stand.  Candidates are unbroken and spaced numbers,
+identifiers with letters and digits (of kind card or phone, whichever context accepts them) and forms of e-mail addresses
+that are no base span.
+
+One pass over the texts finds all matches, and cheap tests keep the costly patterns from texts that can't have any; a
+second pass counts those patterns that stand beside enough tokens, and of its words only theirs leave a task.  Iterations
+run over the table of edges between patterns and instances.  Only rows with a match ever meet their spans in a join.
 
 Base patterns are written so that a match takes time linear in the text and equals the plain pattern's match: a digit
 run's match begins at the run's first digit, and an e-mail's local part where its run of characters begins or the last
 match ended.
 
 Defined results: null text is empty and has no spans; repeated rows, also of null doc_id, get spans of their own
-texts; overlapping spans all stay; an empty table gives no rows; columns named as results are
-replaced.
+texts; overlapping spans all stay; an empty table gives no rows; other columns, whatever their names, are not read, and
+kept by masked.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvello.llm.common import materialise
+from corvello.llm.common import discard, hidden, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,7 +38,7 @@ IP_CHECK = r"^(?:0++|0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]))(?:\.0*+(?:
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Tokens with the shape of an identifier: digits and their punctuation between white space, bars or brackets.
-TOKEN = r"(?<![^\s|(])[0-9][0-9().-]{6,30}+(?=[^0-9A-Za-z\s|]*+(?:[\s|]|\z))"
+TOKEN = r"(?<![^\s|(])[0-9][0-9().-]{6,}+(?=[^0-9A-Za-z\s|]*+(?:[\s|]|\z))"
 _LEFT, _RIGHT = r"(?<![^\s|(\[\"'<:=#])", r"(?=[^0-9A-Za-z\s|]*+(?:[\s|]|\z))"
 _GROUP = r"[(]?[0-9][0-9().-]*+" + _RIGHT
 #: Two or more groups of digits with single blanks between them.
@@ -46,17 +50,31 @@ _NAME = r"[\p{L}\p{N}_%+-]"
 ADDRESS = rf"{_LEFT}{_NAME}++(?:\.{_NAME}++)*+(?:(?:@| ?[(\[{{](?i:at)[)\]}}] ?){_NAME}++(?:(?:\.| ?[(\[{{](?i:dot)[)\]}}] ?| (?i:dot) ){_NAME}++)*+| (?i:at) {_NAME}++(?:(?:\.| (?i:dot) ){_NAME}++)++)"
 CANDIDATES = {"token": TOKEN, "spaced": SPACED, "lettered": LETTERED, "address": ADDRESS}
 
-SUPPORT, CONFIDENCE, ACCEPT = 5, 0.5, 0.7
+#: Occurrences and different instances that a pattern needs, its least confidence, and the least score of what is accepted.
+SUPPORT, INSTANCES, CONFIDENCE, ACCEPT = 5, 3, 0.5, 0.7
+#: Words of a pattern at most.
+GRAM = 3
+#: Patterns that are sent to all tasks; more of them meet the corpus in a join.
+SENT = 100_000
+#: Characters beside a match in which its words are looked for first.
 _CONTEXT = 60
+#: What a text must have for a pattern to match anywhere.
+_DIGIT, _AT = "[0-9]", rf"@|[(\[{{](?i:at)[)\]}}]| (?i:at) {_NAME}++(?:\.| (?i:dot) ){_NAME}"
 _PUNCTUATION = ".,;:!?|\"'()[]{}<>$%&*#=\n\r\t"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches in order: (text, gap since the last one's end, text before, text after)."""
+def _beside(gap: Column, before: bool) -> Column:
+    """The end or beginning of a gap that has its GRAM words next to the match whole."""
+    part = F.right(gap, F.lit(_CONTEXT)) if before else F.left(gap, F.lit(_CONTEXT))
+    return F.when((F.length(gap) <= _CONTEXT) | (F.size(_words(part)) > GRAM), part).otherwise(gap)
+
+
+def matches(text: Column, pattern: str, possible: Column) -> Column:
+    """All leftmost non-overlapping matches in order: (text, gap since the last one's end, text before, text after); null if none."""
     m, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     each = F.arrays_zip(m.alias("m"), F.slice(gaps, F.lit(1), F.size(gaps) - 1).alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps) - 1).alias("next"))
-    found = F.transform(each, lambda x: F.struct(x["m"].alias("text"), F.length(x["gap"]).alias("gap"), F.right(x["gap"], F.lit(_CONTEXT)).alias("before"), F.left(x["next"], F.lit(_CONTEXT)).alias("after")))
-    return F.when(text.rlike(pattern), found)
+    found = F.transform(each, lambda x: F.struct(x["m"].alias("text"), F.length(x["gap"]).alias("gap"), _beside(x["gap"], True).alias("before"), _beside(x["next"], False).alias("after")))
+    return F.when(possible, F.when(text.rlike(pattern), found))
 
 
 def _digits(s: Column) -> Column:
@@ -89,17 +107,20 @@ def _shapes(token: Column) -> Column:
     return F.when(ip, one("ip", ip)).otherwise(F.concat(one("card", card | (lettered & (n >= 4))), one("phone", phone | (lettered & (n >= 4)))))
 
 
-def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, key: a hash of the text) and occurrences (row, kind, base, start, end, text, before, after).
+def scanned(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (row, the columns ``keep``, matched: whether there is any match) and occurrences (row, kind, base, start, end,
+    text, before and after: arrays of words), both of written tables.
 
     One pass reads the texts.  What it found is written, and offsets are running sums over each row's matches.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)) | CANDIDATES
-    read = docs.select("doc_id", text.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("key"), *(matches(F.col("text"), p).alias(k) for k, p in patterns.items()))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    tested = docs.select(*(F.col(f"`{c}`") for c in keep), body.alias("__body"), body.contains("@").alias("__mail"), body.contains("+").alias("__plus"), body.rlike(_DIGIT).alias("__digit"), body.rlike(_AT).alias("__at"))
+    gates = {"email": "__mail", "phone": "__plus", "address": "__at"}
+    read = tested.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`") for c in keep), *(matches(F.col("__body"), p, F.col(gates.get(k, "__digit"))).alias(f"__{k}") for k, p in patterns.items()))
     read = materialise(read, "pii-matches")
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("found")) for k in patterns))
-    some = F.coalesce(*patterns).isNotNull()
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"__{k}").alias("found")) for k in patterns))
+    some = F.coalesce(*(F.col(f"__{k}") for k in patterns)).isNotNull()
     each = read.where(some).select("row", F.explode(kinds).alias("k")).select("row", "k.kind", F.posexplode("k.found").alias("i", "m")).select("row", "kind", "i", "m.*")
     so_far = Window.partitionBy("row", "kind").orderBy("i")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.length("text")).over(so_far).cast("int")).withColumn("start", F.col("end") - F.length("text"))
@@ -112,47 +133,93 @@ def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     held = F.coalesce(F.max(own_end).over(order.rowsBetween(Window.unboundedPreceding, 0)) > F.col("start"), F.lit(False)) | F.coalesce(F.min(own_start).over(order.rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False))
     kinds = F.when(F.col("base"), F.array("kind")).when(F.col("kind") == "address", F.array(F.lit("email"))).otherwise(_shapes(F.col("text")))
-    found = placed.withColumn("held", held).where("base OR NOT held").select("row", F.explode(kinds).alias("kind"), "base", "start", "end", "text", F.try_element_at(_words(F.col("before")), F.lit(-1)).alias("before"), F.get(_words(F.col("after")), F.lit(0)).alias("after"))
-    return read.select("row", "doc_id", "key"), materialise(found, "pii-occurrences")
-
-
-def discovered(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """(kind, text) of unknown tokens that the bootstrapping accepts."""
+    found = placed.withColumn("held", held).where("base OR NOT held").select("row", F.explode(kinds).alias("kind"), "base", "start", "end", "text", _words(F.col("before")).alias("before"), _words(F.col("after")).alias("after"))
+    rows = read.select("row", *(F.col(f"`{c}`") for c in keep), some.alias("matched"))
+    rows.corvello_path = read.corvello_path
+    return rows, materialise(found, "pii-occurrences")
+
+
+def _grams(words: Column, n: int) -> Column:
+    """All runs of n words."""
+    if n == 1:
+        return words
+    run = lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), run)).otherwise(F.array().cast("array<string>"))
+
+
+def edges(tokens: DataFrame) -> DataFrame:
+    """(kind, text, side, gram, length, n, seed): patterns that instances occur with, and how often.  Written."""
+    last = lambda n: F.array_join(F.slice("before", F.size("before") - (n - 1), F.lit(n)), " ")
+    first = lambda n: F.array_join(F.slice("after", F.lit(1), F.lit(n)), " ")
+    one = lambda side, gram, n: F.when(F.size(side) >= n, F.struct(F.lit(side).alias("side"), gram.alias("gram"), F.lit(n).alias("length")))
+    patterns = F.array(*(x for n in range(1, GRAM + 1) for x in (one("before", F.when(F.size("before") >= n, last(n)), n), one("after", first(n), n))))
+    each = tokens.select("kind", "text", F.col("base").alias("seed"), F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("p")).select("kind", "text", "seed", "p.*")
+    most = 2 * GRAM * tokens.count()
+    return materialise(each.groupBy("kind", "text", "side", "gram", "length").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pii-edges", most, 64)
+
+
+def counted(supported: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(gram, all): occurrences in the corpus of the patterns ``supported`` (gram, length).  Written."""
+    few = supported.count() <= SENT
+    lengths = sorted(r.length for r in supported.select("length").distinct().collect())  # GRAM at most
+    words = docs.select(_words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("w"))
+    out = supported.select("gram").limit(0).withColumn("all", F.lit(0).cast("long"))
+    for n in lengths:
+        wanted, found = supported.where(F.col("length") == n).select("gram"), words.select(F.explode(_grams(F.col("w"), n)).alias("gram"))
+        if few:
+            found = found.join(F.broadcast(wanted), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("all"))
+            # Else the optimiser sums first, which shuffles every word of the corpus.
+        else:
+            sums = materialise(found.groupBy("gram").agg(F.count(F.lit(1)).alias("all")), "pii-sums")
+            found = sums.join(wanted.hint("merge"), "gram", "left_semi")
+        out = out.union(found)
+    return materialise(out, "pii-words", supported.count())
+
+
+def discovered(tokens: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, text) of unknown tokens that the bootstrapping accepts.  Written."""
     spark = tokens.sparkSession
-    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word"))))
-    edges = tokens.select("kind", "text", F.col("base").alias("seed"), sides.alias("p")).select("kind", "text", "seed", "p.side", "p.word").where("word IS NOT NULL")
-    edges = materialise(edges.groupBy("kind", "text", "side", "word").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pii-edges")
-    # Only words that stand beside known identifiers often enough to be patterns need corpus counts.
-    supported = edges.groupBy("side", "word", "kind").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).select("word").distinct()
-    counts = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("all"))
-    counts = materialise(counts.join(supported, "word", "left_semi"), "pii-words")
-    known = edges.where("seed").select("kind", "text").distinct()
-    # What is accepted stays: more known identifiers never lower a score, and every round but the last one adds some.
-    accepted = spark.createDataFrame([], "kind string, text string")
-    while True:
-        held = edges.join(known, ["kind", "text"], "left_semi").groupBy("side", "word", "kind").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("instances"))
-        patterns = held.where((F.col("hits") >= SUPPORT) & (F.col("instances") >= 3)).join(counts, "word").select("side", "word", "kind", F.least(F.col("hits") / F.col("all"), F.lit(0.999)).alias("confidence"))
+    graph = edges(tokens)
+    # Only what stands beside enough tokens can become a pattern and needs corpus counts.
+    enough = graph.groupBy("side", "gram", "length", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("instances")).where((F.col("n") >= SUPPORT) & (F.col("instances") >= INSTANCES))
+    most = graph.count()
+    supported = materialise(enough.select("gram", "length").distinct(), "pii-supported", most)
+    counts = counted(supported, docs, text)
+    some = materialise(graph.join(counts.hint("merge"), "gram"), "pii-graph", most, 64)
+    seeds = graph.where("seed").select("kind", "text").distinct()
+    known, accepted = seeds, spark.createDataFrame([], "kind string, text string")
+    while True:  # what is accepted stays: more known identifiers never lower a score, and every round but the last one adds some
+        held = some.join(known, ["kind", "text"], "left_semi").groupBy("side", "gram", "kind", "all").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("instances"))
+        patterns = held.where((F.col("hits") >= SUPPORT) & (F.col("instances") >= INSTANCES)).select("side", "gram", "kind", F.least(F.col("hits") / F.col("all"), F.lit(0.999)).alias("confidence"))
         patterns = patterns.where(F.col("confidence") >= CONFIDENCE)
         # Instances of base spans stay known; others are known by their patterns of this round.
-        scored = edges.where("NOT seed").join(patterns, ["side", "word", "kind"]).groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        new = materialise(scored.where(F.col("score") >= ACCEPT).select("kind", "text").join(accepted, ["kind", "text"], "left_anti"), "pii-accepted")
+        sides = some.where("NOT seed").join(patterns, ["side", "gram", "kind"]).groupBy("kind", "text", "side").agg(F.max("confidence").alias("confidence"))
+        scored = sides.groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        new = materialise(scored.where(F.col("score") >= ACCEPT).select("kind", "text").join(accepted, ["kind", "text"], "left_anti"), "pii-accepted", most)
         if not new.limit(1).count():
             break
         accepted = accepted.union(new)
-        known = edges.where("seed").select("kind", "text").union(accepted).distinct()
-    return accepted
+        known = seeds.union(accepted)
+    out = materialise(accepted, "pii-discovered", most)
+    discard(graph, supported, counts, some)
+    return out
+
+
+_NONE = "cast(array() as array<struct<rank:int,start:int,end:int>>)"
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base and all spans as arrays of (rank of kind, start, end), in order; a row for each of docs."""
-    rows, found = scanned(docs)
-    accepted = discovered(found, docs).withColumn("accepted", F.lit(True))
-    found = found.join(accepted, ["kind", "text"], "left").where("base OR accepted")
+def spans(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of docs without any match and those with, both with columns ``keep``, base and spans: arrays of (rank of kind,
+    start, end) in order."""
+    rows, found = scanned(docs, keep, text)
+    accepted = discovered(found, docs, text).withColumn("accepted", F.lit(True))
     rank = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int")
     span = F.struct(rank.alias("rank"), "start", "end")
-    by_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
-    none = F.expr("cast(array() as array<struct<rank:int,start:int,end:int>>)")
-    return rows.join(by_row, "row", "left").select("doc_id", "key", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    known = found.join(accepted, ["kind", "text"], "left").where("base OR accepted")
+    by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+    kept, none = [F.col(f"`{c}`") for c in keep], F.expr(_NONE)
+    plain = rows.where("NOT matched").select(*kept, none.alias("base"), none.alias("spans"))
+    return plain, rows.where("matched").join(by_row.hint("merge"), "row", "left").select(*kept, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -163,20 +230,21 @@ def listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts of base spans by kind, their digest and all spans of every document."""
     n = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return spans(docs).select("doc_id", *map(n, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    plain, matched = spans(docs, ["doc_id"])
+    return plain.union(matched).select("doc_id", *map(n, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of a text replaced by its kind in brackets; overlapping spans become one of the first's kind."""
-    rows = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    found = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
-    joined = rows.join(found, rows.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    text = F.col("text")
+    frame, name, columns = hidden(docs)
+    plain, matched = spans(frame, frame.columns, name)
+    text = F.col(name)
 
     def step(acc: Column, s: Column) -> Column:
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1)), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
-    by_place = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
     clean = F.aggregate(by_place, F.expr("cast(struct(0, '') as struct<at:int,out:string>)"), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(clean).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    matched = matched.withColumn(name, F.when(F.size("spans") == 0, text).otherwise(clean))
+    return plain.union(matched).select(*columns)

@@ -109,3 +109,26 @@ def test_patterns_run_until_nothing_new(spark):
             rows += [(0, f"w{step + k} 555-{step}{i}1-2671") for k in (0, 1, 1, 1, 1)]
     got = [r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert all(got)
+
+
+def test_hidden_seeds_are_found_again(spark):
+    """A quarter of the e-mail addresses and phones are hidden from the bootstrapping; their contexts are several words long."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "ka ti lo mu re".split() for b in "na so pi".split()]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    # Single words of the contexts are frequent elsewhere, so only their combinations tell.
+    rows = [(i, f"{say(20)} ka na so user{i}x@mail{i % 7}.org {say(9)} lo mu pi +1 234 567 {1000 + i} {say(9)} so na ka {say(3)} pi mu lo {say(3)} ka so pi na mu") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, found = pii.scanned(docs, ["doc_id"])
+    hide = pii.F.col("base") & (pii.F.pmod(pii.F.xxhash64("text"), pii.F.lit(4)) == 0)
+    hidden = {(r.kind, r.text) for r in found.where(hide).collect()}
+    got = {(r.kind, r.text) for r in pii.discovered(found.withColumn("base", pii.F.col("base") & ~hide), docs).collect()}
+    assert len(hidden) > 40 and len(got & hidden) >= 0.95 * len(hidden)
+
+
+def test_long_context_words_and_many_patterns(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SENT", 0)
+    long = "dial" + "x" * 200
+    rows = [(i, f"words here {long} +1 {200 + i} 555 {1000 + i} now") for i in range(30)] + [(100, f"so {long} 415-555-2671"), (101, f"so q{long} 415-555-9999")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:208:220" and got[101] == ""
