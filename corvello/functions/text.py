@@ -112,3 +112,17 @@ def code_bits(value: Column, root: int) -> Column:
     """Bits of a number in a scale-root code."""
     m = F.when(value == 0, 0).otherwise(F.length(F.bin(value)))
     return F.when(m <= root, F.lit(1 + root)).otherwise(2 * m - root).cast("long")
+
+
+def varint_bytes(value: Column) -> Column:
+    """Bytes of a number in groups of seven bits."""
+    return F.when(value == 0, 1).otherwise(F.ceil(F.length(F.bin(value)) / 7)).cast("long")
+
+
+def window_bits(size: Column) -> Column:
+    """Bits that number the places of a window of a size."""
+    return F.when(size <= 1, 0).otherwise(F.length(F.bin(size - 1))).cast("long")
+
+
+def utf16le(c: Column) -> Column:
+    return F.encode(c, "UTF-16LE")

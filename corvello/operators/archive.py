@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvello.functions.text import ascii_lower
+from corvello.operators.catalog import ordered_index
 
 
 def directory(files: DataFrame) -> DataFrame:
@@ -21,8 +22,8 @@ def directory(files: DataFrame) -> DataFrame:
 
 
 def sorted_directory(entries: DataFrame) -> DataFrame:
-    """Entries in the order of an archive's directory: by ASCII-case-insensitive name."""
-    return entries.orderBy(ascii_lower(F.col("name")), "name")
+    """Entries with rank, their place in an archive's directory: by ASCII-case-insensitive name."""
+    return ordered_index(entries.withColumn("key", ascii_lower(F.col("name"))), ["key", "name"], "rank").drop("key")
 
 
 def listing(entries: DataFrame) -> DataFrame:

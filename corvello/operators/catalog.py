@@ -8,22 +8,6 @@ from pyspark.sql import functions as F
 from corvello.functions.text import ascii_lower
 from corvello.storage import materialise
 
-#: Rows of one bucket of a dense numbering.
-BUCKET = 100_000
-
-
-def dense_index(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """rows with ``name``, 0 and up in the order of a whole-number column: numbered in buckets, which are summed up.
-
-    Only one row for each bucket meets in one task.
-    """
-    dealt = rows.withColumn("__bucket", F.floor(F.col(order) / BUCKET))
-    counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(order)) - 1
-    return dealt.withColumn("__k", within).join(before, "__bucket").withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__bucket", "__k", "__before")
-
-
 def ordered_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with ``name``, 0 and up in the order of any columns, by one range exchange.
 
@@ -44,7 +28,7 @@ def in_contents(url: Column, title: Column, code: Column | None = None) -> Colum
 
 def topics(pages: DataFrame) -> DataFrame:
     """(topic_id, title, url, in_contents) of pages (ord, title, url), numbered in order; an empty title is null."""
-    return dense_index(pages, "ord", "topic_id").select("topic_id", F.nullif("title", F.lit("")).alias("title"), "url", in_contents(F.col("url"), F.col("title")).alias("in_contents"))
+    return ordered_index(pages, ["ord"], "topic_id").select("topic_id", F.nullif("title", F.lit("")).alias("title"), "url", in_contents(F.col("url"), F.col("title")).alias("in_contents"))
 
 
 def url_key(url: Column) -> Column:
@@ -62,19 +46,15 @@ def looked_up_or_added(wanted: DataFrame, found: DataFrame, code: int) -> tuple[
     asked = wanted.withColumn("url_key", url_key(F.col("url")))
     new = asked.join(known, "url_key", "left_anti").groupBy("url_key").agg(F.min_by(F.struct("ord", "name", "url"), "ord").alias("f")).select("f.*")
     after = found.agg(F.coalesce(F.max("topic_id") + 1, F.lit(0)).alias("next"))
-    new = dense_index(new, "ord", "k").crossJoin(F.broadcast(after)).select((F.col("next") + F.col("k")).alias("topic_id"), F.nullif("name", F.lit("")).alias("title"), "url", in_contents(F.col("url"), F.col("name"), F.lit(code)).alias("in_contents"))
+    new = ordered_index(new, ["ord"], "k").crossJoin(F.broadcast(after)).select((F.col("next") + F.col("k")).alias("topic_id"), F.nullif("name", F.lit("")).alias("title"), "url", in_contents(F.col("url"), F.col("name"), F.lit(code)).alias("in_contents"))
     every = found.unionByName(new)
     return asked.join(first_topics(every), "url_key", "left").drop("url_key"), every
 
 
 def dictionary(values: DataFrame, column: str) -> DataFrame:
-    """(id, value): distinct values in byte order, numbered by ranges of their first bytes; 0 is the empty text."""
+    """(id, value): distinct values in byte order; 0 is the empty text."""
     distinct = values.select(F.coalesce(F.col(column), F.lit("")).alias("value")).union(values.sparkSession.createDataFrame([("",)], "value string")).distinct()
-    dealt = distinct.withColumn("part", F.substring("value", 1, 2))
-    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
-    return dealt.withColumn("k", number).join(before, "part").select((F.col("before") + F.col("k")).cast("long").alias("id"), "value")
+    return ordered_index(distinct, ["value"], "id").select("id", "value")
 
 
 def keyword_index(entries: DataFrame) -> DataFrame:
@@ -89,6 +69,14 @@ def keyword_index(entries: DataFrame) -> DataFrame:
     return first.drop("keyword").join(shown, ["source_rank", "sort_key"]).select("source_rank", "sort_key", "display", "topic_id", "ord")
 
 
+def keyword_order(index: DataFrame) -> DataFrame:
+    """(seq, sort_key, source_rank, data): keywords of keyword_index() in byte order, of equal ones the list's before the pages'
+    and then as they come; data is the place of a keyword's data, which are 13 bytes apart."""
+    first = index.groupBy("sort_key", "source_rank").agg(F.min("ord").alias("ord"))
+    placed = ordered_index(first, ["sort_key", "source_rank", "ord"], "seq")
+    return placed.select("seq", "sort_key", "source_rank", (F.col("seq") * 13).alias("data"))
+
+
 def context_ids(defined: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, file) of defined (ord, name, id) by aliases (ord, name, file): first alias of a name, last definition of an id."""
     first = aliases.groupBy("name").agg(F.min_by("file", "ord").alias("file"))

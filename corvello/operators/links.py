@@ -30,8 +30,9 @@ def dangling(targets: DataFrame, paths: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
     """(node, hop): everything reachable from seeds (node) along edges (src, dst), with the least number of hops.
 
-    Only nodes found in the last round are followed; each round is a written table, so lineage stays short.
+    Only nodes found in the last round are followed; edges and each round are written tables, so nothing is made twice.
     """
+    edges = materialise(edges.select("src", "dst").distinct(), "edges")
     seen = materialise(seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")), "closure")
     frontier, hop = seen, 0
     while hops is None or hop < hops:
@@ -41,4 +42,5 @@ def closure(seeds: DataFrame, edges: DataFrame, hops: int | None = None) -> Data
         if not frontier.limit(1).count():
             break
         seen = seen.union(frontier)
+    discard(edges)
     return seen

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvello.operators.catalog import ordered_index
 from corvello.storage import materialise
 
-#: Siblings of one bucket of a prefix sum.
+#: Nodes of one bucket of siblings or of a running sum.
 BUCKET = 4096
 
 
 def levels(nodes: DataFrame) -> DataFrame:
     """nodes (node, parent, ordinal, name, local) with depth, rank (the order key of its level) and path of names.
 
-    One join for each depth; a rank is the parent's rank and the ordinal, so no level is sorted as a whole.
+    One join for each depth, of nodes that are written once; a rank is the parent's rank and the ordinal, so no level is
+    sorted as a whole.
     """
+    nodes = materialise(nodes, "nodes")
     found = materialise(nodes.where("parent IS NULL").withColumn("depth", F.lit(0)).withColumn("rank", F.array("ordinal")).withColumn("path", F.col("name")), "levels")
     level = found
     while True:
@@ -50,10 +53,18 @@ def char_index(path: str, name: str):
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
-    """(node, parent, has_children, last, next_sibling)."""
+    """(node, parent, has_children, last, next_sibling).
+
+    Children of one parent are taken in buckets of consecutive ordinals, so a parent of very many is many tasks' work; a
+    bucket's last child is followed by the first one of the next bucket.
+    """
     parents = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("has_children", F.lit(True))
-    nxt = F.lead("node").over(Window.partitionBy("parent").orderBy("ordinal"))
-    out = nodes.withColumn("next_sibling", nxt).join(parents, "node", "left")
+    dealt = nodes.select("node", "parent", "ordinal", F.floor(F.col("ordinal") / BUCKET).alias("bucket"))
+    firsts = dealt.groupBy("parent", "bucket").agg(F.min_by("node", "ordinal").alias("first"))
+    firsts = firsts.select(F.col("parent").alias("p"), F.col("bucket").alias("b"), F.lead("first").over(Window.partitionBy("parent").orderBy("bucket")).alias("after"))
+    near = F.lead("node").over(Window.partitionBy("parent", "bucket").orderBy("ordinal"))
+    out = dealt.withColumn("near", near).join(firsts, F.col("parent").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")))
+    out = out.withColumn("next_sibling", F.coalesce("near", "after")).join(parents, "node", "left")
     return out.select("node", "parent", F.coalesce("has_children", F.lit(False)).alias("has_children"), F.col("next_sibling").isNull().alias("last"), "next_sibling")
 
 
@@ -61,20 +72,19 @@ def contents(nodes: DataFrame) -> DataFrame:
     """Table-of-contents rows in level order: pos (bytes before, 20 a node and 28 with children), props, seq (running
     count of nodes with a local target), next_ref and first_child (positions from 4096, 0 for none).
 
-    Running sums go over (depth, parent's rank): sums of these groups first, then within each group.
+    Nodes are put in order by one range exchange; running sums go over each range, after the sums of the ranges before it,
+    so no level and no parent's children meet in one task.
     """
-    ranked = levels(nodes).withColumn("group", F.slice("rank", F.lit(1), F.size("rank") - 1))
+    ranked = levels(nodes)
     flags = siblings(nodes).select("node", "has_children", "next_sibling")
     rows = ranked.join(flags, "node").withColumn("size", F.when(F.col("has_children"), 28).otherwise(20).cast("long")).withColumn("hit", (F.col("local") != "").cast("long"))
-    groups = rows.groupBy("depth", "group").agg(F.sum("size").alias("size"), F.sum("hit").alias("hit"))
-    order = Window.partitionBy("depth").orderBy("group")
-    groups = groups.select("depth", "group", (F.sum("size").over(order) - F.col("size")).alias("s"), (F.sum("hit").over(order) - F.col("hit")).alias("h"))
-    depths = rows.groupBy("depth").agg(F.sum("size").alias("size"), F.sum("hit").alias("hit"))  # a row for each depth
-    all_before = Window.orderBy("depth")
-    depths = depths.select("depth", (F.sum("size").over(all_before) - F.col("size")).alias("ds"), (F.sum("hit").over(all_before) - F.col("hit")).alias("dh"))
-    within = Window.partitionBy("depth", "group").orderBy("ordinal")
-    placed = rows.withColumn("ws", F.sum("size").over(within) - F.col("size")).withColumn("wh", F.sum("hit").over(within)).join(groups, ["depth", "group"]).join(F.broadcast(depths), "depth")
-    placed = placed.select("node", "parent", "depth", "name", (F.col("ds") + F.col("s") + F.col("ws")).alias("pos"), (F.col("dh") + F.col("h") + F.col("wh")).alias("seq"), "has_children", "next_sibling", "size", "hit")
+    rows = ordered_index(rows, ["depth", "rank"], "at").withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    sums = rows.groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("hit").alias("hit"))  # a row for each BUCKET nodes
+    order = Window.orderBy("bucket")
+    sums = sums.select("bucket", (F.sum("size").over(order) - F.col("size")).alias("s"), (F.sum("hit").over(order) - F.col("hit")).alias("h"))
+    within = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("ws", F.sum("size").over(within) - F.col("size")).withColumn("wh", F.sum("hit").over(within)).join(sums, "bucket")
+    placed = placed.select("node", "parent", "depth", "name", (F.col("s") + F.col("ws")).alias("pos"), (F.col("h") + F.col("wh")).alias("seq"), "has_children", "next_sibling", "size", "hit")
     first = placed.groupBy("parent").agg(F.min("pos").alias("child")).select(F.col("parent").alias("node"), "child")
     above = placed.select(F.col("node").alias("parent"), F.col("pos").alias("up"))
     out = placed.join(first, "node", "left").join(above, "parent", "left")

@@ -41,6 +41,11 @@ def is_html(path: Column) -> Column:
     return low.contains(".ht") & ~low.contains(".hhc") & ~low.contains(".hhk")
 
 
+def is_list(path: Column) -> Column:
+    """Whether a path is that of a table of contents or of an index."""
+    return ascii_lower(path).rlike(r"\.hh[ck]$")
+
+
 def settings(rows: DataFrame) -> Settings:
     """The options, of which a project file has a handful."""
     found = {r.key: r.value for r in project.options(rows).select("key", "value").collect()}
@@ -54,7 +59,7 @@ def stored(spark: SparkSession, folder: str, codepage: int) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     prefix = F.lit(folder.removeprefix("file:").rstrip("/") + "/")
     rows = raw.select(F.element_at(F.split(F.regexp_replace("path", "^file:/+", "/"), F.concat(F.lit("\\Q"), prefix, F.lit("\\E")), 2), 2).alias("path"), F.col("length").alias("size"), "content")
-    told = is_html(F.col("path")) | ascii_lower(F.col("path")).rlike(r"\.hh[ck]$")
+    told = is_html(F.col("path")) | is_list(F.col("path"))
     return rows.select("path", "size", F.when(told, encoding.decoded("content", F.lit(codepage))).alias("html"))
 
 
@@ -164,15 +169,17 @@ def build(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     defined, named = project.maps(rows).select("ord", "name", "id"), project.aliases(rows).select("ord", "name", F.col("target").alias("file"))
     out["context_ids"], out["context_unmatched"] = catalog.context_ids(defined, named), catalog.context_unmatched(defined, named)
     out["windows"] = project.windows(rows)
-    first = out["windows"].orderBy("ord").select("type").first()
+    window = project.default_window(rows, rows).first()
     if told.yes("full-text search"):
         runs = fulltext.runs(loaded.where(is_html(F.col("path"))).join(pages.select(F.col("url").alias("path"), "topic_id"), "path"), "topic_id", "html")
+        runs = materialise(runs, "runs")
         words = materialise(fulltext.words(runs), "words")
-        out["postings"], out["doc_freq"], out["fts_stats"] = fulltext.postings(words), fulltext.doc_freq(words), fulltext.statistics(materialise(runs, "runs"))
+        if words.limit(1).count():  # without a word there is no index
+            out["postings"], out["doc_freq"], out["fts_stats"] = fulltext.postings(words), fulltext.doc_freq(words), fulltext.statistics(runs)
     entries = archive.directory(loaded.select("ord", F.concat(F.lit("/"), F.col("path")).alias("name"), F.lit(1).alias("section"), "size"))
     out["directory"], out["totals"] = entries, archive.totals(entries)
     flags = {"fts": int("postings" in out), "keywords": int(out["keywords"].limit(1).count() > 0), "alinks": int(out["alinks"].limit(1).count() > 0), "toc": int("toc" in out)}
-    out["system"] = system(spark, told, flags, told.options.get("default window") or (first.type if first else ""))
+    out["system"] = system(spark, told, flags, window.window if window else "")
     out["index_header"] = topics.agg(F.count(F.lit(1)).alias("topics")).withColumn("merge_files", F.lit(rows.where("section = 'merge files'").count()))
     for name in ("subsets", "infotypes", "merge files"):
         out[name.replace(" ", "_")] = project.files(rows, name).select("ord", F.col("path").alias("name"))
@@ -184,25 +191,39 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def output_path(project_path: str, options: dict[str, str], override: str = "") -> str:
+    """Where a project's archive goes: what the caller says, else the option, else the project's own name."""
+    folder, _, name = project_path.rpartition("/")
+    told = options.get("compiled file", "").replace("\\", "/")
+    return override or f"{folder}/{told or name.rpartition('.')[0] + '.chm'}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def collection(spark: SparkSession, master: str, out: str) -> DataFrame:
-    """(member, ok, error) of a master project's members and, last, the master; tables go below ``out``.
+    """(member, ok, source, error) of a master project's members and, last, the master; tables go below ``out``.
 
-    A member is a project beside the master or in a folder of its own name.
+    A member is a project beside the master (flat) or in a folder of its own name (nested), or an archive that was built
+    before (prebuilt), which is taken as it is.
     """
     folder, told = master.rpartition("/")[0], project.sections(project.lines(spark, master))
-    names = [r.name for r in project.files(told, "merge files").orderBy("ord").select(stem(F.col("path")).alias("name")).collect()]
+    members = project.files(told, "merge files").select("ord", stem(F.col("path")).alias("member"))
+    place = lambda *parts: F.concat(F.lit(folder + "/"), *parts)
+    wanted = members.select("ord", "member", place("member", F.lit(".hhp")).alias("flat"), place("member", F.lit("/"), "member", F.lit(".hhp")).alias("nested"), place("member", F.lit(".chm")).alias("prebuilt"))
+    # A collection has a handful of members.
+    paths = [p for r in wanted.select("flat", "nested", "prebuilt").collect() for p in r if _exists(spark, p)]
+    chosen = archive.chosen_sources(wanted, spark.createDataFrame([(p,) for p in paths], "path string"))
     results = []
-    for name in [*names, None]:
-        tried = [master] if name is None else [f"{folder}/{name}.hhp", f"{folder}/{name}/{name}.hhp"]
-        member, error = name or master.rpartition("/")[2], f"{name} has no project"
-        for path in tried:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-                try:
-                    save(build(spark, path), f"{out}/{member}")
-                    error = None
-                except (BuildError, AnalysisException) as e:
-                    error = str(e)
-                break
-        results.append((member, error is None, error))
-    return spark.createDataFrame(results, "member string, ok boolean, error string")
+    for r in [*wanted.select("ord", "member").join(chosen, "member").orderBy("ord").collect(), None]:
+        member, source, path = (r.member, r.source, r.path) if r else (master.rpartition("/")[2], "master", master)
+        error = None if source else f"no {member}.hhp and no prebuilt {member}.chm"
+        if source not in (None, "prebuilt"):
+            try:
+                save(build(spark, path), f"{out}/{member}")
+            except (BuildError, AnalysisException) as e:
+                error = str(e)
+        results.append((member, error is None, source, error))
+    return spark.createDataFrame(results, "member string, ok boolean, source string, error string")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.functions.text import LEXER, LOWER, UPPER, WORD, ascii_lower, charset, title
+from corvello.functions.text import LEXER, LOWER, UPPER, WORD, ascii_lower, charset, title, varint_bytes
 from corvello.operators import archive, catalog, fulltext, links, trees
+from corvello.plans import source_queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def fts_words(spark, sf_dir):
 
 
 def fts_postings(spark, sf_dir):
-    """The inverted index: positions by word, context and page."""
+    """The inverted index: positions by word, context and page."""
     return fulltext.postings(_page_words(spark, sf_dir)).select("word", "ctx", "doc", "tf", F.array_join("positions", ",").alias("positions"))
 
 
@@ -42,6 +43,12 @@ def plain_words_documents(spark, sf_dir):
     return fulltext.doc_freq(fulltext.plain_words(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def postings_order(spark, sf_dir):
+    """The index in its order: word, body before title, page; with the bytes of its counts."""
+    found = fulltext.postings(_page_words(spark, sf_dir)).select("word", "ctx", "doc", "tf")
+    return catalog.ordered_index(found, ["word", "ctx", "doc"], "rank").select("rank", "word", "ctx", "doc", varint_bytes(F.col("tf")).alias("tf_bytes"))
+
+
 def posting_gaps(spark, sf_dir):
     """Delta-coded documents and positions (H5)."""
     return fulltext.gaps(_page_words(spark, sf_dir)).select("word", "ctx", "doc", "pos", "doc_gap", "pos_gap")
@@ -178,7 +185,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_directory(spark, sf_dir):
-    """An archive's entries with prefix-sum offsets in each section."""
+    """An archive's entries with prefix-sum offsets in each section."""
     return _entries(spark, sf_dir)
 
 
@@ -193,7 +200,7 @@ def archive_totals(spark, sf_dir):
 
 
 def collection_members(spark, sf_dir):
-    """A collection's members with success or failure."""
+    """A collection's members with success or failure."""
     return archive.collection(table(spark, sf_dir, "documents").select(F.col("source").alias("member"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")))
 
 
@@ -203,10 +210,10 @@ def collection_summary(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    fts_words, fts_postings, fts_doc_freq, fts_stats, plain_words_documents, posting_gaps, posting_code_bits, page_titles, page_charsets, page_refs,
+    fts_words, fts_postings, fts_doc_freq, fts_stats, plain_words_documents, postings_order, posting_gaps, posting_code_bits, page_titles, page_charsets, page_refs,
     page_refs_resolved, dangling_refs, topics, topic_upsert, url_first_topic, string_dict, keyword_index, context_ids, context_unmatched,
     tree_level_order, tree_paths, tree_siblings, conversation_paths, link_closure, archive_directory, archive_list, archive_totals, collection_members, collection_summary,
-)}
+)} | source_queries.QUERIES
 
 
 def _quoted(s: str) -> str:
@@ -291,6 +298,7 @@ ORACLE_SQL = {
         SELECT (SELECT count(DISTINCT doc) FROM runs WHERE text <> '') AS indexed_files, coalesce(sum(n), 0)::BIGINT AS total_words, coalesce(sum(n * octet_length(encode(word))), 0)::BIGINT AS total_word_bytes,
         coalesce(max(octet_length(encode(word))), 0)::BIGINT AS longest_word, count(*) AS distinct_words, coalesce(sum(octet_length(encode(word))), 0)::BIGINT AS distinct_word_bytes FROM k""",
     "plain_words_documents": f"WITH d AS (SELECT doc_id AS doc, 1 AS run, 0 AS ctx, text FROM documents WHERE text IS NOT NULL), {_words_of('d')} SELECT word, ctx, count(DISTINCT doc) AS doc_freq, count(*) AS total_freq FROM words GROUP BY word, ctx",
+    "postings_order": f"{_WORDS}, p AS (SELECT word, ctx, doc, count(*) AS tf FROM words GROUP BY word, ctx, doc) SELECT row_number() OVER (ORDER BY encode(word), ctx, doc) - 1 AS rank, word, ctx, doc, ceil(length(bin(tf)) / 7)::BIGINT AS tf_bytes FROM p",
     "posting_gaps": f"{_GAPS} SELECT word, ctx, doc, pos::BIGINT AS pos, doc_gap::BIGINT AS doc_gap, pos_gap::BIGINT AS pos_gap FROM gapped",
     "posting_code_bits": f"""{_GAPS}, s AS (SELECT word, ctx, doc, doc_gap, count(*) AS tf, sum({_bits("pos_gap", 5)}) AS pb FROM gapped GROUP BY word, ctx, doc, doc_gap),
         b AS (SELECT word, ctx, doc, ({_bits("doc_gap", 2)} + {_bits("tf", 1)} + pb)::BIGINT AS bits FROM s) SELECT word, ctx, doc, bits, ceil(bits / 8)::BIGINT AS bytes FROM b""",
@@ -330,4 +338,4 @@ ORACLE_SQL = {
     "archive_totals": f'WITH {_ENTRIES} SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes, coalesce(max("offset" + size), 0)::BIGINT AS "end" FROM entries',
     "collection_members": f"WITH {_MEMBERS} SELECT member, files, bytes, bytes > 0 AS ok, CASE WHEN bytes = 0 THEN 'nothing to build' END AS error FROM members",
     "collection_summary": f"WITH {_MEMBERS} SELECT count(*) AS members, count(*) FILTER (bytes = 0) AS failed, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM members",
-}
+} | source_queries.ORACLE_SQL

@@ -3,7 +3,8 @@
 ``register(spark)`` and ``spark.read.format("corvello_archive").load(path_or_glob)`` give a row
 for each entry: path, name, section, offset, length, content.  One archive is one partition.  ``content`` stays null
 unless option ``content`` is true, and then only a filter on name decides whether the compressed section is decoded.
-Archives of damaged structure raise ArchiveError with what is wrong.
+That source opens files, so the folder has to be mounted by the driver and all executors; ``read(spark, path)`` gives the
+same rows from any file system that Spark reads.  Archives of damaged structure raise ArchiveError with what is wrong.
 """
 
 from __future__ import annotations
@@ -324,20 +325,66 @@ def extract(entries, folder: str):
     return entries.where("startswith(name, '/') AND NOT endswith(name, '/')").select("name", "content").mapInPandas(write, "name string, ok boolean, error string")
 
 
-def archive_bytes(files: dict[str, bytes], page: int = 4096) -> bytes:
-    """A single-file archive of uncompressed entries, in the directory's order."""
-    ordered = sorted(files, key=lambda n: (n.translate({c: c + 32 for c in range(65, 91)}).encode(), n))
-    pages, current, content = [], b"", b""
-    for name in ordered:
+def entries(archives, content: bool = False, names: list[str] | None = None):
+    """(path, name, section, offset, length, content) of archives (path, data): the entries called ``names`` or all of them.
+
+    ``content`` says whether entries are read; the compressed section is decoded only if one of them lies there.  An archive
+    is one row, whose bytes a task holds.
+    """
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["data"], strict=True):
+                found = Archive(bytes(data))
+                some = [e for e in found.entries if names is None or e.name in names]
+                yield pd.DataFrame([(path, e.name, e.section, e.offset, e.length, found.read(e) if content else None) for e in some], columns=["path", "name", "section", "offset", "length", "content"])
+
+    return archives.select("path", "data").mapInPandas(read, "path string, name string, section int, offset long, length long, content binary")
+
+
+def read(spark, path: str, content: bool = False, names: list[str] | None = None):
+    """entries() of the archives at a path or glob of any file system that Spark reads."""
+    return entries(spark.read.format("binaryFile").load(path).selectExpr("path", "content AS data"), content, names)
+
+
+def lzx_stored(plain: bytes, reset: int = 2 * FRAME) -> bytes:
+    """An LZX stream of blocks that are stored as they are, one for each ``reset`` bytes."""
+    out = b""
+    for at in range(0, len(plain), reset):
+        block = plain[at : at + reset]
+        head = (3 << 24 | len(block)) << 4  # a bit for no translation, three for the kind, 24 for the size; then to a word's end
+        out += struct.pack("<HH", head >> 16, head & 0xFFFF) + struct.pack("<3i", 1, 1, 1) + block
+    return out
+
+
+def archive_bytes(files: dict[str, bytes], page: int = 4096, compressed: bool = False) -> bytes:
+    """A single-file archive in the directory's order; ``compressed``: what has a name from the root goes into an LZX section."""
+    places, sections = {}, [b"", b""]
+
+    def put(name: str, data: bytes, section: int) -> None:
+        places[name] = (section, len(sections[section]), len(data))
+        sections[section] += data
+
+    low = {c: c + 32 for c in range(65, 91)}
+    for name in sorted(files, key=lambda n: (n.translate(low).encode(), n)):
+        put(name, files[name], int(compressed and name.startswith("/")))
+    if compressed:
+        put(STORAGE + "Content", lzx_stored(sections[1]), 0)
+        put(STORAGE + "ControlData", struct.pack("<I4s5I", 6, COMPRESSED, 2, 2, 2, 1, 0), 0)
+        put(STORAGE + "SpanInfo", struct.pack("<Q", len(sections[1])), 0)
+    pages, current = [], b""
+    for name in sorted(places, key=lambda n: (n.translate(low).encode(), n)):
         raw = name.encode()
-        row = varint(len(raw)) + raw + varint(0) + varint(len(content)) + varint(len(files[name]))
+        row = varint(len(raw)) + raw + b"".join(map(varint, places[name]))
         if len(current) + len(row) > page - 0x14 - 2:
             pages.append(current)
             current = b""
-        current, content = current + row, content + files[name]
+        current += row
     pages.append(current)
     body = b"".join((LISTING + struct.pack("<IIii", page - 0x14 - len(p), 0, k - 1, k + 1 if k + 1 < len(pages) else -1) + p).ljust(page, b"\0") for k, p in enumerate(pages))
     directory = (DIRECTORY + struct.pack("<III", 1, 0x54, 10) + struct.pack("<I", page)).ljust(0x2C, b"\0") + struct.pack("<I", len(pages))
     directory = directory.ljust(0x54, b"\0") + body
     head = (HEADER + struct.pack("<II", 3, 0x60)).ljust(0x48, b"\0") + struct.pack("<QQQ", 0x60, len(directory), 0x60 + len(directory))
-    return head + directory + content
+    return head + directory + sections[0]

@@ -118,12 +118,20 @@ def attributes(tag: Column) -> Column:
 
 
 def decoded(value: Column) -> Column:
-    """Entities of sitemap values; & comes last, so that decoded text is not decoded again."""
-    out = value
-    for name, char in SITEMAP_ENTITIES.items():
-        if name != "amp":
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Entities of sitemap values, one by one from left to right.
+
+    Unknown names stay as they are; numbers are characters of Latin-1, others and what is no number after # are dropped.
+    """
+    known = F.create_map(*(F.lit(x) for kv in SITEMAP_ENTITIES.items() for x in kv))
+
+    def text(token: Column) -> Column:
+        name = F.substring(token, 2, F.length(token) - 2)
+        number = F.when(name.rlike(r"^#[xX]\+?[0-9A-Fa-f]+$"), F.conv(F.regexp_extract(name, "([0-9A-Fa-f]+)$", 1), 16, 10)).when(name.rlike(r"^#\+?[0-9]+$"), F.regexp_extract(name, "([0-9]+)$", 1)).cast("long")
+        coded = F.when(number.between(1, 255), F.char(number)).otherwise(F.lit(""))
+        return F.when(~token.rlike("^&[^;]*;$"), token).when(name.startswith("#"), coded).otherwise(F.coalesce(F.try_element_at(known, name), token))
+
+    tokens = F.regexp_extract_all(value, F.lit("&[^;]{0,9};|[^&]+|&"), F.lit(0))
+    return F.when(value.contains("&"), F.array_join(F.transform(tokens, text), "")).otherwise(value)
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -170,3 +178,17 @@ def link_objects(pages: DataFrame) -> DataFrame:
     tags = tags.withColumn("inside", inside).where("inside AND name = 'param'").withColumn("attrs", attributes(F.regexp_replace("tag", r"^<\s*[A-Za-z0-9]+|>$", "")))
     told = tags.select("file", "ord", ascii_lower(attribute(F.col("attrs"), "name")).alias("kind"), attribute(F.col("attrs"), "value").alias("value"))
     return told.where(F.col("kind").isin("keyword", "alink name") & (F.col("value") != ""))
+
+
+def locals_of(items: DataFrame) -> DataFrame:
+    """(file, place, local): all targets of a sitemap's items, numbered in order of its tags."""
+    each = items.select("file", "node", F.posexplode("params").alias("k", "p")).where("p.k = 'local' AND p.v <> ''")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("node", "k")) - 1
+    return each.select("file", place.cast("long").alias("place"), F.col("p.v").alias("local"))
+
+
+def default_window(told: DataFrame, defined: DataFrame) -> DataFrame:
+    """(file, window): the window that option names, else the first that is defined; sections of files each."""
+    named = options(told).where("key = 'default window' AND value <> ''").select("file", F.col("value").alias("named"))
+    first = windows(defined).groupBy("file").agg(F.min_by("type", "ord").alias("first"))
+    return first.join(named, "file", "full").select("file", F.coalesce("named", "first").alias("window"))
