@@ -16,7 +16,7 @@ no blanks.  No row is collected by conversation: a message's place is its (turn,
 Defined results: texts that are no such JSON, null texts and null roles are plain content; a null content is left out;
 a call without id or name is invalid and unlinked; of several results with one id the one of the least turn (then least
 content) is linked; calls on a cycle have no level; without a schema a call's arguments need only be an object;
-repeated rows are formatted each; empty tables give no rows; other columns are not read.
+rows that repeat are formatted each, and the calls of an id that a conversation repeats share level and result; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvello.llm.common import materialise
+from corvello.llm.common import discard, materialise
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
@@ -44,11 +44,11 @@ def canonical(json: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with key (equal rows share it), calls, result and tools."""
+    """Messages with key (each row has its own), calls, result and tools."""
     rows = messages.select("conv_id", "turn", "role", "text")
     role = lambda r: (F.col("role") == r) & _object(F.col("text"))
     return rows.select(
-        "*", F.xxhash64("conv_id", "turn", "role", "text").alias("key"),
+        "*", F.monotonically_increasing_id().alias("key"),
         F.when(role("assistant"), F.from_json("text", _CALLS)["tool_calls"]).alias("calls"),
         F.when(role("tool"), F.from_json("text", _RESULT)).alias("result"),
         F.when(role("system"), F.from_json("text", _TOOLS)["tools"]).alias("tools"),
@@ -70,7 +70,7 @@ def call_levels(calls: DataFrame) -> DataFrame:
         rest = materialise(rest.join(left, ["conv_id", "id"], "left_semi"), "calls")
         if after.count() == left.count():
             break
-        left, level = after, level + 1
+        left, level = after, level + 1  # earlier tables are read again below
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -127,35 +127,38 @@ def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """calls (conv_id, id, name, arguments, ...) with valid; tools: conv_id, name and the schema's JSON."""
     ids = calls.columns
     value = F.try_parse_json("arguments")
-    bad = violations(calls.join(tools, ["conv_id", "name"]).select("key", "pos", F.to_json(value).alias("value"), "schema").where("value IS NOT NULL AND schema IS NOT NULL")).withColumn("bad", F.lit(True))
+    bad = violations(calls.join(tools.hint("merge"), ["conv_id", "name"]).select("key", "pos", F.to_json(value).alias("value"), "schema").where("value IS NOT NULL AND schema IS NOT NULL")).withColumn("bad", F.lit(True))
     sound = F.col("id").isNotNull() & F.col("name").isNotNull() & F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
     return calls.join(bad, ["key", "pos"], "left").select(*ids, (sound & F.col("bad").isNull()).alias("valid"))
 
 
 def formatted(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, n_calls, n_linked, n_valid, level (deepest call's; null without calls or on a cycle) and message."""
-    rows = materialise(parsed(messages), "messages")
+    rows = materialise(parsed(messages), "messages")  # so that each row keeps its key
     call = F.posexplode("calls").alias("pos", "c")
-    calls = rows.where("calls IS NOT NULL").dropDuplicates(["key"]).select("conv_id", "key", call).select("conv_id", "key", "pos", "c.*")
+    calls = rows.where("calls IS NOT NULL").select("conv_id", "key", call).select("conv_id", "key", "pos", "c.*")
     results = rows.where("result.tool_call_id IS NOT NULL").groupBy("conv_id", F.col("result.tool_call_id").alias("id")).agg(F.min(F.struct("turn", "result.content")).alias("r"))
     tools = rows.where("tools IS NOT NULL").select("conv_id", F.explode("tools").alias("t")).select("conv_id", "t.name", F.to_json("t.parameters").alias("schema"))
-    tools = tools.groupBy("conv_id", "name").agg(F.min("schema").alias("schema"))
-    linked = validated(calls, tools).join(results.select("conv_id", "id", "r.content", F.lit(True).alias("linked")), ["conv_id", "id"], "left")
-    linked = linked.join(call_levels(calls.where("id IS NOT NULL")), ["conv_id", "id"], "left")
+    # One row for each identifier or name, written: a conversation's many calls of one are then a join that can be split.
+    results = materialise(results.select("conv_id", "id", "r.content", F.lit(True).alias("linked")), "results")
+    tools = materialise(tools.groupBy("conv_id", "name").agg(F.min("schema").alias("schema")), "tools")
+    linked = validated(calls, tools).join(results.hint("merge"), ["conv_id", "id"], "left")
+    levels = call_levels(calls.where("id IS NOT NULL"))
+    linked = linked.join(levels.hint("merge"), ["conv_id", "id"], "left")
     # A message has few calls: this groups by message, not by conversation.
     one = F.struct(F.col("level").isNull().alias("last"), F.col("level").alias("order"), "pos", F.struct(F.coalesce(canonical(F.col("arguments")), F.col("arguments")).alias("arguments"), "id", "level", "name", F.col("content").alias("result"), "valid").alias("c"))
     by_message = linked.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_calls"), F.count("linked").alias("n_linked"), F.count(F.when(F.col("valid"), 1)).alias("n_valid"),
         F.when(F.count("level") == F.count(F.lit(1)), F.max("level")).alias("level"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("calls"),
     )
-    named = calls.where("id IS NOT NULL").groupBy("conv_id", F.col("id").alias("call_id")).agg(F.min("name").alias("call_name"))
+    named = materialise(calls.where("id IS NOT NULL").groupBy("conv_id", F.col("id").alias("call_id")).agg(F.min("name").alias("call_name")), "names")
 
     def shown(frame: DataFrame, message: Column, **more: Column) -> DataFrame:
         n = lambda c: more.get(c, F.lit(0)).cast("long").alias(c)
         return frame.select("conv_id", "turn", "role", n("n_calls"), n("n_linked"), n("n_valid"), more.get("level", F.lit(None)).cast("int").alias("level"), message.alias("message"))
 
     plain = shown(rows.where("calls IS NULL AND result IS NULL"), F.to_json(F.struct(F.col("text").alias("content"), "role")))
-    back = rows.where("result IS NOT NULL").withColumn("call_id", F.col("result.tool_call_id")).join(named, ["conv_id", "call_id"], "left")
+    back = rows.where("result IS NOT NULL").withColumn("call_id", F.col("result.tool_call_id")).join(named.hint("merge"), ["conv_id", "call_id"], "left")
     back = shown(back, F.to_json(F.struct(F.col("result.content").alias("content"), F.col("call_name").alias("name"), "role", F.col("call_id").alias("tool_call_id"))), n_linked=F.when(F.col("call_name").isNotNull(), 1).otherwise(0))
     made = rows.where("calls IS NOT NULL").drop("calls").join(by_message, "key", "left")
     message = F.to_json(F.struct("role", F.coalesce("calls", F.expr("array()").cast(by_message.schema["calls"].dataType)).alias("tool_calls")))
@@ -164,4 +167,6 @@ def formatted(messages: DataFrame) -> DataFrame:
     both = canonical(F.concat(F.expr("substring(rest, 1, length(rest) - 1)"), F.lit(","), F.expr("substring(message, 2)")))
     made = made.withColumn("rest", rest).withColumn("message", message)
     made = shown(made, F.when(F.col("rest") != "{}", F.coalesce(both, "message")).otherwise(F.col("message")), **{c: F.coalesce(c, F.lit(0)) for c in ("n_calls", "n_linked", "n_valid")}, level=F.col("level"))
-    return plain.union(back).union(made)
+    out = materialise(plain.union(back).union(made), "formatted")
+    discard(rows, results, tools, levels, named)
+    return out

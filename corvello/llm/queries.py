@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,23 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tools.formatted(table(spark, sf_dir, "conversations"))
 
 
+#: What the derived conversations of tool_call_chains may call.
+RATE = {"tools": [{"name": "rate", "parameters": {"type": "object", "required": ["balance"], "properties": {"balance": {"type": "number", "minimum": 0}, "segment": {"enum": ["BUILDING", "MACHINERY"]}}}}]}
+
+
+def tool_call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 on conversations that have calls, results and schemas: each customer is a call in its nation's conversation,
+    which names the call of half its number; every third has a result.  Number 0 names itself, which is a cycle."""
+    customers, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    arguments = F.struct(F.col("c_mktsegment").alias("segment"), F.floor("c_acctbal").alias("balance"), F.concat(F.lit("${c"), F.floor(key / 2).cast("string"), F.lit("}")).alias("after"))
+    call_id = F.concat(F.lit("c"), key.cast("string"))
+    message = lambda turn, role, text: (F.col("c_nationkey").cast("long").alias("conv_id"), turn.cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text"))
+    calls = customers.select(*message(key, "assistant", F.to_json(F.struct(F.array(F.struct(call_id.alias("id"), F.lit("rate").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))))
+    results = customers.where(key % 3 == 0).select(*message(key + 10**9, "tool", F.to_json(F.struct(call_id.alias("tool_call_id"), F.col("c_name").alias("content")))))
+    tools = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey").select(*message(F.lit(-1), "system", F.lit(json.dumps(RATE))))
+    return chat_tools.formatted(calls.union(results).union(tools))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
@@ -72,15 +91,26 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
+    "tool_call_chains": tool_call_chains,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    # The table's messages are plain content; tests/llm covers calls, results and schemas.
+    # The table's messages are plain content; tool_call_chains has calls, results and schemas.
     "op3_tool_calls": """
         SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_valid, NULL::INT AS level,
             json_object('content', text, 'role', role)::VARCHAR AS message
         FROM conversations
     """,
+    "tool_call_chains": f"""
+        WITH RECURSIVE c AS (SELECT c_custkey AS k, c_nationkey AS n, c_name, 'c' || c_custkey AS id, floor(c_acctbal)::BIGINT AS balance, c_mktsegment AS segment FROM customer),
+        p AS (SELECT c.*, u.k AS up FROM c LEFT JOIN c u ON u.n = c.n AND u.k = c.k // 2),
+        l AS (SELECT k, 0 AS level FROM p WHERE up IS NULL UNION ALL SELECT p.k, l.level + 1 FROM p JOIN l ON p.up = l.k),
+        a AS (SELECT p.*, l.level, balance >= 0 AND segment IN ('BUILDING', 'MACHINERY') AS valid, k % 3 = 0 AS linked, json_object('after', '${{c' || k // 2 || '}}', 'balance', balance, 'segment', segment)::VARCHAR AS args FROM p LEFT JOIN l USING (k))
+        SELECT n::BIGINT AS conv_id, k AS turn, 'assistant' AS role, 1::BIGINT AS n_calls, linked::BIGINT AS n_linked, valid::BIGINT AS n_valid, level::INT AS level, '{{"role":"assistant","tool_calls":[{{"arguments":' || to_json(args) || ',"id":"' || id || '"'
+            || CASE WHEN level IS NULL THEN '' ELSE ',"level":' || level END || ',"name":"rate"' || CASE WHEN linked THEN ',"result":"' || c_name || '"' ELSE '' END || ',"valid":' || valid || '}}]}}' AS message FROM a
+        UNION ALL SELECT n, k + 1000000000, 'tool', 0, 1, 0, NULL, json_object('content', c_name, 'name', 'rate', 'role', 'tool', 'tool_call_id', id)::VARCHAR FROM a WHERE linked
+        UNION ALL SELECT n_nationkey, -1, 'system', 0, 0, 0, NULL, json_object('content', '{json.dumps(RATE)}', 'role', 'system')::VARCHAR FROM nation
+    """,
     "op6_minhash": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),

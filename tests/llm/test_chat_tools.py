@@ -1,6 +1,7 @@
 """Linking, order, validation and canonical JSON of tool calls on small conversations."""
 
 import json
+import random
 
 from corvello.llm import chat_tools
 
@@ -73,3 +74,26 @@ def test_content_order_and_nested_schemas(spark):
     assert [c.get("id") for c in message["tool_calls"]] == ["a", "b", None]
     assert (message["content"], message["refusal"], message["role"]) == ("let me \"see\"", None, "assistant") and list(message) == sorted(message)
     assert got[2, 1][4] == {"role": "assistant", "tool_calls": []}
+
+
+def test_random_call_graphs(spark):
+    """Levels and order against peeling by hand; several conversations, forward and backward references, cycles, repeated ids."""
+    rng, rows, want = random.Random(7), [], {}
+    for conv in range(8):
+        n = rng.randrange(3, 14)
+        needs = {i: sorted({rng.randrange(n + 2) for _ in range(rng.randrange(3))} - ({i} if conv % 3 else set())) for i in range(n)}
+        level, left = {}, dict(needs)
+        while ready := [i for i, x in left.items() if not any(j in left for j in x)]:
+            for i in ready:
+                level[i] = max([level[j] + 1 for j in needs[i] if j in needs], default=0)
+            for i in ready:
+                del left[i]
+        order = list(needs)
+        rng.shuffle(order)
+        parts = [order[: n // 2], order[n // 2 :]]
+        for turn, part in enumerate(parts):
+            rows.append((conv, turn, "assistant", call(*((f"id{i}", "f", {"x": " ".join(f"${{id{j}}}" for j in needs[i])}) for i in part))))
+            places = [(level.get(i) is None, level.get(i, 0), part.index(i), i) for i in part]
+            want[conv, turn] = [(f"id{i}", level.get(i)) for *_, i in sorted(places)]
+    got, _ = run(spark, rows)
+    assert {k: [(c["id"], c.get("level")) for c in v[4]["tool_calls"]] for k, v in got.items()} == want
