@@ -5,14 +5,15 @@ markers alone), all its other lines joined, so notices may be wrapped.  Their wo
 rare in ordinary paragraphs), and the 1-, 2- and 3-grams of what is left, at most a few thousand features, have sparse
 weights for each licence family and for the unknown class.  Only paragraphs with a word of the vocabulary meet the
 weights, in a broadcast join of bounded size; all others are unknown.  Probabilities are a softmax whose temperature is
-fitted on paragraphs that the weights have not seen.  A prediction is confirmed if the paragraph has most of the words of
+fitted on whole templates, with their damaged copies, and on paragraphs that the weights of a first fit have not seen.  A prediction is confirmed if the paragraph has most of the words of
 one of the family's templates.
 
 Scoring is DataFrame expressions throughout.  Fitting takes the templates, their damaged copies and the paragraphs of
-BACKGROUND documents (those with the least hashes of doc_id), on the driver.
+BACKGROUND documents (those with the least hashes of doc_id), on the driver.  No document is labelled: what has most of a
+template's words is left out of the background, all else of it counts as unknown.
 
 Defined results: null and empty texts and texts without a known word have no family and probability 0; of several
-paragraphs the one with the highest probability counts (then the first); repeated rows are scanned each, also of null
+paragraphs a confirmed one counts before others, then the one with the highest probability, then the first; repeated rows are scanned each, also of null
 doc_id; empty tables give no rows; other columns are not read.
 """
 
@@ -28,13 +29,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvello.llm.common import materialise
+from corvello.llm.common import discard, materialise
 
 UNKNOWN = "unknown"
 BACKGROUND, BACKGROUND_CHARS = 300, 20_000
 #: Words of more than this share of ordinary paragraphs are no vocabulary.
 ORDINARY = 0.01
 CONFIRMED = 0.6
+#: Of so many templates of a family or paragraphs one is held out of the first fit.
+HELD = 3
 PROBABILITY = 0.5
 #: Line ends around lines without a letter or digit.
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
@@ -112,7 +115,7 @@ def damaged(text: str, rng: random.Random) -> str:
 
 
 def fit(background: list[str], seed: int = 8) -> Model:
-    """Multinomial logistic regression; every third example only sets the temperature."""
+    """Multinomial logistic regression; the temperature is that of a first fit without every HELD-th template and paragraph."""
     rng = random.Random(seed)
     classes = [*sorted(TEMPLATES), UNKNOWN]
     templates = [set(plain_words(t)) for ts in TEMPLATES.values() for t in ts]
@@ -120,37 +123,39 @@ def fit(background: list[str], seed: int = 8) -> Model:
     seen = Counter(w for words in ordinary for w in set(words))
     vocabulary = sorted({w for t in templates for w in t if seen[w] <= ORDINARY * max(100, len(ordinary))})
     known = set(vocabulary)
-    examples = [(plain_words(text), classes.index(family)) for family, texts in sorted(TEMPLATES.items()) for t in texts for text in (t, *(damaged(t, rng) for _ in range(12)))]
-    examples += [(w, len(classes) - 1) for w in ordinary] + [([w], len(classes) - 1) for w in vocabulary]
+    # A template's copies stay on one side; each family keeps its first template for the first fit.
+    examples = [(plain_words(text), classes.index(family), k % HELD == HELD - 1) for family, texts in sorted(TEMPLATES.items()) for k, t in enumerate(texts) for text in (t, *(damaged(t, rng) for _ in range(12)))]
+    examples += [(w, len(classes) - 1, k % HELD == 0) for k, w in enumerate([*ordinary, *([w] for w in vocabulary)])]
     # Ordinary paragraphs that happen to have some of the vocabulary.
-    examples += [(rng.sample(vocabulary, min(len(vocabulary), rng.randrange(1, 4))), len(classes) - 1) for _ in range(300)]
+    examples += [(rng.sample(vocabulary, min(len(vocabulary), rng.randrange(1, 4))), len(classes) - 1, k % HELD == 0) for k in range(300)]
     rng.shuffle(examples)
-    rows = [(Counter(ngrams([w for w in words if w in known])), y) for words, y in examples]
+    rows = [(Counter(ngrams([w for w in words if w in known])), y, held) for words, y, held in examples]
     rows = [r for r in rows if r[0]]
-    learn, hold = [r for k, r in enumerate(rows) if k % 3], rows[::3]
-    names = sorted({f for found, _ in learn for f in found})
+    learn, hold = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+    names = sorted({f for found, _, _ in rows for f in found})
     number = {f: k for k, f in enumerate(names)}
 
     def matrix(part: list) -> np.ndarray:
         x = np.zeros((len(part), len(names) + 1), np.float32)
         x[:, -1] = 1
-        for k, (found, _) in enumerate(part):
-            for f in found:
-                if f in number:
-                    x[k, number[f]] = 1
+        for k, (found, _, _) in enumerate(part):
+            x[k, [number[f] for f in found]] = 1
         return x
 
-    x, y = matrix(learn), np.eye(len(classes), dtype=np.float32)[[y for _, y in learn]]
-    theta = np.zeros((x.shape[1], len(classes)), np.float32)
-    speed = np.full_like(theta, 1e-6)
-    for _ in range(200):
-        z = x @ theta
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        grad = x.T @ (p - y) / len(x) + 1e-4 * theta
-        speed += grad**2
-        theta -= 0.5 * grad / np.sqrt(speed)
-    z, target = matrix(hold) @ theta, np.array([y for _, y in hold])
+    def weights(part: list) -> np.ndarray:
+        x, y = matrix(part), np.eye(len(classes), dtype=np.float32)[[y for _, y, _ in part]]
+        theta = np.zeros((x.shape[1], len(classes)), np.float32)
+        speed = np.full_like(theta, 1e-6)
+        for _ in range(200):
+            z = x @ theta
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            grad = x.T @ (p - y) / len(x) + 1e-4 * theta
+            speed += grad**2
+            theta -= 0.5 * grad / np.sqrt(speed)
+        return theta
+
+    z, target = matrix(hold) @ weights(learn), np.array([y for _, y, _ in hold])
 
     def loss(t: float) -> float:
         s = z / t
@@ -158,6 +163,7 @@ def fit(background: list[str], seed: int = 8) -> Model:
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), target]).mean())
 
     temperature = min((0.5 * 1.1**k for k in range(30)), key=loss) if len(hold) else 1.0
+    theta = weights(rows)
     kept = np.abs(theta[:-1]).max(axis=1) > 0.05
     return Model(vocabulary, classes, {f: theta[k].tolist() for f, k in number.items() if kept[k]}, theta[-1].tolist(), temperature)
 
@@ -216,4 +222,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     order = F.struct("confirmed", "probability", -F.col("line"))
     by_row = judged.groupBy("row").agg(F.max_by(F.struct("family", "probability", "confirmed"), order).alias("b"), F.count(F.lit(1)).alias("n"))
     out = found.select("row", "doc_id").join(by_row, "row", "left")
-    return out.select("doc_id", F.col("b.family").alias("family"), F.coalesce("b.probability", F.lit(0.0)).alias("probability"), F.coalesce("b.confirmed", F.lit(False)).alias("confirmed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"))
+    out = out.select("doc_id", F.col("b.family").alias("family"), F.coalesce("b.probability", F.lit(0.0)).alias("probability"), F.coalesce("b.confirmed", F.lit(False)).alias("confirmed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"))
+    out = materialise(out, "licences")
+    discard(found, single)
+    return out

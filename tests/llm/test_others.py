@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -233,3 +234,51 @@ def test_wrapped_licences(spark):
     frame = spark.createDataFrame(list(enumerate([bsd, gpl, mit, two, "forms of text\n\nwith words"])), "doc_id long, text string")
     got = {r.doc_id: (r.family, r.confirmed, r.n_paragraphs) for r in license_scan.scan(frame, model).collect()}
     assert [got[k] for k in range(3)] == [("BSD", True, 1), ("GPL", True, 1), ("MIT", True, 1)] and got[3][1:] == (True, 2) and not got[4][1]
+
+
+def _licences(text, model):
+    """family, probability, confirmed and paragraphs of a text by plain Python."""
+    known, templates = set(model.vocabulary), {f: [set(license_scan.plain_words(t)) & set(model.vocabulary) for t in ts] for f, ts in license_scan.TEMPLATES.items()}
+
+    def judged(words):
+        found = set(license_scan.ngrams(words)) & set(model.weights)
+        if not found:
+            return None
+        z = [(sum(model.weights[f][k] for f in found) + b) / model.temperature for k, b in enumerate(model.bias)]
+        best = max(range(len(z) - 1), key=lambda k: (z[k], -k))
+        p = math.exp(z[best]) / sum(map(math.exp, z))
+        share = max((len(t & set(words)) / len(t) for t in templates[model.classes[best]] if t), default=0)
+        return (model.classes[best], p, share >= license_scan.CONFIRMED) if p >= license_scan.PROBABILITY else None
+
+    out, place = [], 0
+    for block in re.split(r"\n(?:[^a-zA-Z0-9\u00c0-\uffff\n]*\n)+", text or ""):
+        lines = []
+        for line in block.split("\n"):
+            words = [w for w in license_scan.plain_words(line) if w in known]
+            if words:
+                lines.append((place, words))
+                place += 1
+        single = [(k, j) for k, ws in lines if (j := judged(ws)) and j[2]]
+        out += single
+        rest = [(k, ws) for k, ws in lines if k not in {k for k, _ in single}]
+        if rest and (j := judged([w for _, ws in rest for w in ws])):
+            out.append((rest[0][0], j))
+    if not out:
+        return None, 0.0, False, 0
+    k, best = max(out, key=lambda x: (x[1][2], x[1][1], -x[0]))
+    return (*best, len(out))
+
+
+def test_licence_scores_equal_plain_python(spark):
+    rng = random.Random(12)
+    model = license_scan.fit(["plain text of no kind", "another one with the words of a paragraph"] * 50)
+    notices = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    texts = []
+    for _ in range(150):
+        words = " ".join(license_scan.damaged(rng.choice(notices), rng) for _ in range(rng.randrange(1, 3))).split()
+        texts.append("".join(w + rng.choice([" ", " ", " ", " ", "\n", "\n\n", "\n// \n"]) for w in words))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        family, p, confirmed, n = _licences(text, model)
+        r = got[k]
+        assert (r.family, r.confirmed, r.n_paragraphs) == (family, confirmed, n) and math.isclose(r.probability, p, abs_tol=1e-9), (text, r, family, p)
