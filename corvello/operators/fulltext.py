@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvello.functions.text import LEXER, WORD, ascii_lower, code_bits, entity
+from corvello.storage import materialise
 
 #: Words longer than this are not indexed, though they take a position.
 LONGEST = 99
@@ -81,8 +82,10 @@ def statistics(text_runs: DataFrame) -> DataFrame:
 def gaps(found: DataFrame) -> DataFrame:
     """(word, ctx, doc, pos, doc_gap, pos_gap): differences from the posting before; a first one is its own value.
 
-    doc_gap is a difference within a range of documents, or from the last document of the range before.
+    doc_gap is a difference within a range of documents, or from the last document of the range before.  Words are written
+    once, for they are read three times.
     """
+    found = materialise(found, "words")
     per_doc = found.groupBy("word", "ctx", "doc").agg(F.count(F.lit(1)).alias("tf")).withColumn("range", F.floor(F.col("doc") / RANGE))
     ends = per_doc.groupBy("word", "ctx", "range").agg(F.max("doc").alias("end"))
     ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy("word", "ctx").orderBy("range"))).drop("end")
