@@ -38,7 +38,7 @@ def test_project(spark, tmp_path):
     assert {(r.name, r.target) for r in project.aliases(rows).collect()} == {("first", "deep/page.htm"), ("second", "far.htm")}
     assert {(r.name, r.id) for r in project.maps(rows).collect()} == {("first", 255), ("second", 0)}
     side, plain = project.windows(rows).orderBy("ord").collect()
-    assert (side.type, side.caption, side.toc, side.index, side.default_file, side.home, side.jump1_file, side.jump1_text) == ("side", "Caption, with comma", "", "idx.hhk", "home.htm", "", "j1.htm", "Jump 1")
+    assert (side.type, side.caption, side.toc, side["index"], side.default_file, side.home, side.jump1_file, side.jump1_text) == ("side", "Caption, with comma", "", "idx.hhk", "home.htm", "", "j1.htm", "Jump 1")
     assert (side.nav_style, side.nav_width, side.buttons, side.rect, side.styles, side.valid) == (31, 0, 16384, [1, -2, 30, 0], 7, 0x116)
     assert (plain.type, plain.caption, plain.rect, plain.valid) == ("plain", "Just text", [0, 0, 0, 0], 0)
 
@@ -153,6 +153,43 @@ def test_archives(spark, tmp_path):
             archive.find("/b.htm")
 
 
+def listed(data):
+    """Names, sections, places and sizes by another reading of an archive: from one list chunk to the next, number by number."""
+    out, at = {}, data.find(b"PMGL")
+    while at >= 0:
+        stream = iter(data[at + 20 : at + 4096 - int.from_bytes(data[at + 4 : at + 8], "little")])
+
+        def number(first, stream=stream):
+            value = first & 127
+            while first > 127:
+                first = next(stream)
+                value = value * 128 + (first & 127)
+            return value
+
+        for first in stream:
+            name = bytes(next(stream) for _ in range(number(first))).decode()
+            out[name] = tuple(number(next(stream)) for _ in range(3))
+        at = data.find(b"PMGL", at + 4096)
+    return out
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_directory_by_another_reader(compressed):
+    files = {f"/dir{k % 7}/Page{k}.htm": bytes([k % 251]) * (k * 37 % 900) for k in range(600)} | {"::Meta": b"m" * 300, "/é.htm": b"x"}
+    data = container.archive_bytes(files, compressed=compressed)
+    archive = container.Archive(data)
+    assert listed(data) == {e.name: (e.section, e.offset, e.length) for e in archive.entries}
+    assert {e.name: archive.read(e) for e in archive.entries if e.name in files} == files
+    keys = [e.name.lower() for e in archive.entries]
+    assert keys == sorted(keys)
+
+
+def test_archives_by_sparks_reader(spark, tmp_path):
+    (tmp_path / "a.arc").write_bytes(container.archive_bytes({"/x": b"1", "::y": b"22"}, compressed=True))
+    got = container.read(spark, f"file://{tmp_path}/*.arc", content=True, names=["/x", "::y", "/none"]).collect()
+    assert {(r.name, r.section, bytes(r.content)) for r in got} == {("/x", 1, b"1"), ("::y", 0, b"22")}
+
+
 def test_catalog_and_closure(spark):
     pages = spark.createDataFrame([(0, "Start", "start.htm"), (10**12, "", "c.hhc"), (-5 + 10**13, "Again", "/START.htm")], "ord long, title string, url string")
     topics = catalog.topics(pages)
