@@ -329,10 +329,10 @@ ORACLE_SQL = {
     "tree_paths": f"WITH RECURSIVE {_TREE} SELECT node, depth, path, (octet_length(encode(path)) - octet_length(encode(name)))::BIGINT AS char_index FROM levels",
     "tree_siblings": f"WITH RECURSIVE {_TREE} SELECT node, parent, node IN (SELECT parent FROM tree WHERE parent IS NOT NULL) AS has_children, next_sibling IS NULL AS last, next_sibling FROM (SELECT *, lead(node) OVER (PARTITION BY parent ORDER BY ordinal) AS next_sibling FROM tree)",
     "conversation_paths": """WITH RECURSIVE l AS (SELECT conv_id, turn, role AS path FROM conversations WHERE turn = 0
-        UNION ALL SELECT c.conv_id, c.turn, l.path || ', ' || c.role FROM conversations c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn + 1 AND c.turn < 8)
+        UNION ALL SELECT c.conv_id, c.turn, l.path || ', ' || c.role FROM conversations c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn + 1)
         SELECT conv_id || '/' || turn AS node, turn AS depth, path FROM l""",
     "link_closure": """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
-        c AS (SELECT 'p1' AS node, 0 AS hop UNION SELECT b.dst, c.hop + 1 FROM c JOIN b ON b.src = c.node WHERE c.hop < 3) SELECT node, min(hop)::BIGINT AS hop FROM c GROUP BY node""",
+        c AS (SELECT 'p1' AS node, 0 AS hop UNION SELECT b.dst, c.hop + 1 FROM c JOIN b ON b.src = c.node WHERE c.hop < 40) SELECT node, min(hop)::BIGINT AS hop FROM c GROUP BY node""",
     "archive_directory": f'WITH {_ENTRIES} SELECT name, section, "offset", size FROM entries',
     "archive_list": f"WITH {_ENTRIES} SELECT CASE WHEN section <> 0 THEN 'lzx' ELSE 'raw' END AS kind, size, name FROM entries WHERE starts_with(name, '/') AND size > 0",
     "archive_totals": f'WITH {_ENTRIES} SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes, coalesce(max("offset" + size), 0)::BIGINT AS "end" FROM entries',
