@@ -34,6 +34,8 @@ SEED = 20_261
 _WIDE, _MASK, _SIGN = 21, (1 << 21) - 1, np.int64(-(1 << 63))
 #: Other trigrams that a task counts for a language before it adds them to the bundle, and vectors made at once.
 _HELD, _BLOCK = 65_536, 1024
+#: Languages for which a task holds counts at a time, a megabyte each; bundles (8 kB each) are held for all.
+_LANGUAGES = 32
 
 
 @lru_cache(1)
@@ -135,6 +137,14 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = others.pop(lang)
         sums[lang] = sums.get(lang, 0) + bundled(np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), np.float64, len(held)))
 
+    def fold_all() -> None:
+        for lang in list(counts):
+            total = counts.pop(lang)
+            at = np.flatnonzero(total)
+            sums[lang] = sums.get(lang, 0) + bundled(at, total[at])
+        for lang in list(others):
+            fold(lang)
+
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             grams = trigrams(text.as_py())
@@ -143,6 +153,8 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found, n = np.unique(grams, return_counts=True)
                 weights, wide = n / np.sqrt(len(grams)), int(np.searchsorted(found, 0))
                 if lang not in counts:
+                    if len(counts) == _LANGUAGES:
+                        fold_all()
                     counts[lang] = np.zeros(ALPHABET**3, np.float32)
                 counts[lang][found[wide:]] += weights[wide:]
                 held = others.setdefault(lang, {})
@@ -150,11 +162,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held[g] = held.get(g, 0.0) + w
                 if len(held) > _HELD:
                     fold(lang)
-    for lang, total in counts.items():
-        at = np.flatnonzero(total)
-        sums[lang] = sums.get(lang, 0) + bundled(at, total[at])
-    for lang in list(others):
-        fold(lang)
+    fold_all()
     for lang, total in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS, pa.string()), pa.array(range(DIMENSIONS), pa.int32()), pa.array(total, pa.float64())], ["lang", "at", "weight"])
 

@@ -19,11 +19,14 @@ WORDS = {
 }
 
 
-def test_other_scripts_are_told_apart(spark):
+def test_other_scripts_are_told_apart(spark, monkeypatch):
     rng = random.Random(5)
     text = lambda lang: " ".join(rng.choices(WORDS[lang].split(), k=5))
     train = [(i, text(lang), lang) for lang in WORDS for i in range(30)]
     langs, profiles = language_id.prototypes(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    monkeypatch.setattr(language_id, "_LANGUAGES", 2)
+    again = language_id.prototypes(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert again[0] == langs and np.allclose(again[1], profiles)
     asked = [(i, text(lang), lang) for lang in WORDS for i in range(30)]
     got = language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), langs, profiles).collect()
     wrong = [(r.lang, r.lang_pred, r.text) for r in got if r.lang != r.lang_pred]
