@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvello.llm.common import materialise, with_text
+from corvello.llm.common import discard, materialise, with_text
 
 CAPACITY = 2048
 END_ID = 0
@@ -215,4 +215,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*names).schema]
-    return numbered(cut, histogram).mapInArrow(place, ", ".join([*kinds, "sequence_id long, offset long"]))
+    out = materialise(numbered(cut, histogram).mapInArrow(place, ", ".join([*kinds, "sequence_id long, offset long"])), "packed")
+    discard(cut)
+    return out
