@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvello.storage import discard, materialise, shared_dir
 
-__all__ = ["ARROW_BYTES", "bounded", "discard", "fold", "hidden", "hot_limit", "kinds", "materialise", "shared_dir", "table", "with_text"]
+__all__ = ["ARROW_BYTES", "bound_batches", "bounded", "discard", "fold", "hidden", "hot_limit", "kinds", "materialise", "shared_dir", "table", "with_text"]
 
 #: Bytes of an Arrow batch of texts, unless the session has a limit of its own.
 ARROW_BYTES = 4 << 20
@@ -26,14 +26,16 @@ def bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys)
 
 
-def with_text(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
-    """Columns ``keep`` for a mapInArrow, and the number of the text's column, which comes last unless it is one of them.
-
-    Texts differ in length by orders of magnitude, so the session's Arrow batches are bounded in bytes.
-    """
-    spark, limit = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold ARROW_BYTES at most, for texts differ in length by orders of magnitude."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.sparkContext.getConf().contains(limit):
         spark.conf.set(limit, str(ARROW_BYTES))
+
+
+def with_text(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
+    """Columns ``keep`` for a mapInArrow in bounded batches, and the number of the text's column, which comes last unless it is one of them."""
+    bound_batches(docs.sparkSession)
     columns = keep if text in keep else [*keep, text]
     return docs.select(*(F.col(f"`{c}`") for c in columns)), columns.index(text)
 

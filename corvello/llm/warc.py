@@ -10,6 +10,9 @@ a skewed join key, which adaptive execution splits.  A task streams its records
 holding one frame in memory; only files that the committed index names count, so a task that is run again after a
 lost executor leaves at most a file that nothing reads.
 
+The bundles go to the folder of spark.checkpoint.dir by pyarrow's file systems: file, hdfs (with libhdfs), s3 and gs folders
+work, and folders of Spark that pyarrow has no file system for do not.
+
 Defined results: null html is an empty payload; a null url is written empty; of rows that repeat the winning page_id
 with the same payload each is a response; a null page_id never wins, and where all of a payload's page_ids are null,
 all its rows are responses; an empty table gives no bundle and no rows; other columns are not read.
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvello.llm.common import materialise, shared_dir
+from corvello.llm.common import bound_batches, materialise, shared_dir
 
 # Fixed values of the seekable Zstandard format and of WARC 1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -141,6 +144,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
+    bound_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
