@@ -12,13 +12,14 @@ Two sets of the wanted similarity collide in at least MATCHES coordinates but fo
 * skip: a list is first merged against one leader only, the member that shares most values with others, and a document
   goes on with the leader that it meets in most lists.  That connects most of a group of near copies, however large,
   with one pair for each.  Lists whose members are all connected by then are skipped, and so is in each other list
-  whatever pair is connected already.  The lists that are left tie their members to clusters; a cluster's members meet
-  in blocks of bounded size, of which one holds documents outside the cluster's largest component, and collisions are
-  counted for the pairs of two blocks.
+  whatever pair is connected already.  The lists that are left are merged by clusters, those of the same least component
+  together; a cluster's members meet in blocks of bounded size, of which one holds documents outside the cluster's largest
+  component, and collisions are counted for the pairs of two blocks.
 
 Pairs with at least MATCHES collisions are confirmed on the full shingle sets: only the texts of documents with such a
-pair are fetched, and what leaves a pair of blocks is a spanning forest of its links, not all of them.  Components are
-found with alternating large-star and small-star steps over written tables; hubs are salted.
+pair are compared, and what leaves a pair of blocks is a spanning forest of its links, not all of them.  Leaders precede
+their members in one order, so their links are trees, whose roots are found by pointer jumping; the links between trees go
+through alternating large-star and small-star steps, with salted hubs.  Every round is a written table.
 
 Defined results: null or empty texts and texts of white space have an empty set and are linked with nothing; a document's
 component_id is the least doc_id of all rows that can be reached from its row, null if none of these has one, so rows
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvello.llm.common import bounded, discard, hot_limit, materialise
+from corvello.llm.common import HOT_SHARE, bounded, discard, hot_limit, materialise, with_text
 
 SHINGLE = 5
 #: Similarity as a fraction of integers, so that the test is exact: NUMERATOR / DENOMINATOR.
@@ -231,7 +232,7 @@ def _forest(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of all ends of edges (a, b), the component being its least node; one row for each node but the least.
+    """(node, component) of all ends of the written edges (a, b), the component being its least node; one row for each node but the least.
 
     Alternating large-star and small-star steps.  Each round is written, so no lineage grows; the driver sees sums only.
     """
@@ -239,68 +240,90 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     def with_least(pairs: DataFrame, limit: int) -> DataFrame:
         """Pairs (u, v) with m, the least v of their u; the rows of a u of more than ``limit`` are dealt to SALTS tasks."""
         least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        if 2 * n <= limit:  # no u can have more
+            return pairs.join(least.select("u", "m").hint("merge"), "u")
         hubs = bounded(least.where(F.col("n") > limit).select("u", F.lit(True).alias("hub")))
         salted = pairs.join(hubs, "u", "left").select("u", "v", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
         every = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         return salted.join(least.select("u", "m", F.explode(every).alias("salt")).hint("merge"), ["u", "salt"])
 
-    stars, before = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name), None
+    n = edges.count()
+    if not n:
+        return materialise(edges.toDF("node", "component"), name, 1)
+    stars, before = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name, n, 16), None
     while True:
-        limit = 2 * hot_limit(stars, 1000)
+        limit = 2 * max(1000, -(-n // HOT_SHARE))
         both = stars.union(stars.select("v", "u").toDF("u", "v"))
         large = with_least(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
         joined = with_least(large, limit)
-        after = materialise(joined.select("u", F.col("m").alias("v")).union(joined.where("v > m").select("v", "m")).distinct(), name)
+        after = materialise(joined.select("u", F.col("m").alias("v")).union(joined.where("v > m").select("v", "m")).distinct(), name, 2 * n, 16)
         sums = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         discard(stars)
         stars = after
         if sums == before or not sums[0]:
             return stars.toDF("node", "component")
-        before = sums
+        before, n = sums, sums[0]
 
 
-def _posts(signatures: DataFrame) -> DataFrame:
-    """(node, size, weight, token): the coordinate-value pairs of each representative's prefix.  Written."""
+#: Postings of a representative at most.
+PREFIX = COORDINATES - MATCHES + 1
+
+
+def roots(links: DataFrame, n: int) -> DataFrame:
+    """(node, component) of the b of n links (a, b), of which each b has one and no chain returns: the end of its chain."""
+    found = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "roots", n, 16)
+    while True:
+        above = found.select(F.col("node").alias("component"), F.col("component").alias("next")).hint("merge")
+        after = materialise(found.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), "roots", n, 16)
+        discard(found)
+        found = after.select("node", "component")
+        found.corvello_path = after.corvello_path
+        if not after.where("moved").limit(1).count():
+            return found
+
+
+def _posts(signatures: DataFrame, n: int) -> DataFrame:
+    """(node, size, weight, token): the coordinate-value pairs of the prefix of each of n representatives.  Written."""
     posted = signatures.select("node", "n_shingles", F.posexplode("signature")).select("node", "n_shingles", F.xxhash64("pos", "col").alias("token"))
-    counted = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "values")
+    counted = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "values", COORDINATES * n // 2, 16)
     shared = posted.join(counted.hint("merge"), "token").groupBy("node").agg(F.max("n_shingles").alias("size"), F.sum(F.log("n")).alias("weight"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))  # 64 at most
     rarest = shared.where(F.size("shared") >= MATCHES).select("node", "size", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)).alias("post"))
-    posts = materialise(rarest.select("node", "size", "weight", F.col("post.token").alias("token")), "posts")
+    posts = materialise(rarest.select("node", "size", "weight", F.col("post.token").alias("token")), "posts", PREFIX * n)
     discard(counted)
     return posts
 
 
-def _led(posts: DataFrame, signatures: DataFrame) -> DataFrame:
+def _led(posts: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     """(a, b): each representative b with the leader a that it meets in most lists, if they have MATCHES collisions.  Written."""
-    leaders = materialise(posts.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("leader")), "leaders")
+    leaders = materialise(posts.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("leader")), "leaders", PREFIX * n // 2)
     met = posts.join(leaders.hint("merge"), "token").select(F.col("node").alias("b"), F.col("leader.node").alias("a")).where("a <> b")
     best = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("lists")).groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
     side = lambda n: signatures.select(F.col("node").alias(n), F.col("n_shingles").alias(f"{n}_size"), F.col("signature").alias(f"{n}_signature")).hint("merge")
     both = best.join(side("b"), "b").join(side("a"), "a")
-    pairs = materialise(both.where(_alike(F.col("a_size"), F.col("b_size")) & (collisions(F.col("a_signature"), F.col("b_signature")) >= MATCHES)).select("a", "b"), "pairs")
+    pairs = materialise(both.where(_alike(F.col("a_size"), F.col("b_size")) & (collisions(F.col("a_signature"), F.col("b_signature")) >= MATCHES)).select("a", "b"), "pairs", n)
     discard(leaders)
     return pairs
 
 
-def _clusters(posts: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, size, component, cluster) of the members of lists that two components share.  Written."""
-    labelled = materialise(posts.select("node", "size", "token").join(found.hint("merge"), "node", "left").select("node", "size", "token", F.coalesce("component", "node").alias("component")), "lists")
-    shared = materialise(labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "low"), "open-lists")
-    open_ = materialise(labelled.join(shared.hint("merge"), "token").select("node", "size", "component", "low").distinct(), "open")
-    ties = components(open_.select(F.col("component").alias("a"), F.col("low").alias("b")), "ties")
-    out = open_.select("node", "size", "component").distinct().join(ties.toDF("component", "cluster").hint("merge"), "component", "left").withColumn("cluster", F.coalesce("cluster", "component"))
-    out = materialise(out, "clusters")
-    discard(labelled, shared, open_, ties)
+def _clusters(posts: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """(node, size, component, cluster) of the members of lists that two components share; a list's cluster is its least component.  Written."""
+    labelled = materialise(posts.select("node", "size", "token").join(found.hint("merge"), "node", "left").select("node", "size", "token", F.coalesce("component", "node").alias("component")), "lists", PREFIX * n)
+    shared = materialise(labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "low"), "open-lists", PREFIX * n // 2, 16)
+    out = labelled.join(shared.hint("merge"), "token").select("node", "size", "component", F.col("low").alias("cluster")).distinct()
+    out = materialise(out, "clusters", PREFIX * n)
+    discard(labelled, shared)
     return out
 
 
-def _across(clusters: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(clusters: DataFrame, signatures: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Links (a, b) between components of one cluster, enough to join all that are linked."""
+    if not clusters.limit(1).count():
+        return clusters.select(F.col("node").alias("a"), F.col("node").alias("b"))
     weight = F.greatest("size", F.lit(BLOCK_SHINGLES // BLOCK_MEMBERS))
     blocks = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
     sizes = clusters.groupBy("cluster", "component").agg(F.sum(weight).alias("w"))
     sizes = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("w", "component")).alias("largest"), F.max("w").alias("in"), F.sum("w").alias("w"))
-    sizes = materialise(sizes.select("cluster", "largest", blocks(F.col("w") - F.col("in")).alias("outer"), blocks(F.col("in")).alias("inner")), "sizes")
+    sizes = materialise(sizes.select("cluster", "largest", blocks(F.col("w") - F.col("in")).alias("outer"), blocks(F.col("in")).alias("inner")), "sizes", PREFIX * n)
     outside, hashed = F.col("component") != F.col("largest"), F.xxhash64("node")
     block = F.when(outside, F.pmod(hashed, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hashed, F.col("inner"))).cast("int")
     last = F.when(outside, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
@@ -321,26 +344,31 @@ def _across(clusters: DataFrame, signatures: DataFrame, texts: DataFrame) -> Dat
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What rows (node, doc_id, text; node is unique; a written table) have: (node, doc_id, n_shingles, digest) of each row, and
     (digest, component_id) of each distinct set.  Written."""
-    base = materialise(rows.select("node", "doc_id", "text").mapInArrow(_sketch, "node long, doc_id long, n_shingles long, digest binary, signature array<long>"), "sketch")
-    sets = materialise(base.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "sets")
-    signatures = materialise(base.select("node", "n_shingles", "signature").join(sets.select("node").hint("merge"), "node", "left_semi"), "signatures")
-    posts = _posts(signatures)
+    base = materialise(with_text(rows, ["node", "doc_id"])[0].mapInArrow(_sketch, "node long, doc_id long, n_shingles long, digest binary, signature array<long>"), "sketch")
+    sets = materialise(base.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "sets", base.count())
+    n = sets.count()
+    signatures = materialise(base.select("node", "n_shingles", "signature").join(sets.select("node").hint("merge"), "node", "left_semi"), "signatures", n, 8 * COORDINATES)
+    posts = _posts(signatures, n)
     texts = materialise(rows.select("node", "text").join(posts.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
 
-    pairs = _led(posts, signatures)
+    pairs = _led(posts, signatures, n)
     links = materialise(confirmed(pairs, texts), "links")
-    found = components(links)
-    clusters = _clusters(posts, found)
-    more = _across(clusters, signatures, texts)
+    found = roots(links, n)
+    clusters = _clusters(posts, found, n)
+    more = _across(clusters, signatures, texts, n)
     named = more.join(found.toDF("a", "ca").hint("merge"), "a", "left").join(found.toDF("b", "cb").hint("merge"), "b", "left")
-    upper = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    named = materialise(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "between", more.count(), 16)
+    upper = components(named)
+    discard(named)
 
     linked = sets.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).join(upper.toDF("component", "to").hint("merge"), "component", "left")
-    linked = materialise(linked.select("digest", "least", F.coalesce("to", "component").alias("component")), "linked")
-    least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    named = materialise(linked.join(least.hint("merge"), "component").select("digest", "component_id"), "component-ids")
+    linked = materialise(linked.select("digest", "least", F.coalesce("to", "component").alias("component")), "linked", n)
+    least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least", n, 16)
+    named = materialise(linked.join(least.hint("merge"), "component").select("digest", "component_id"), "component-ids", n)
     discard(sets, signatures, posts, texts, pairs, links, found, clusters, more, upper, linked, least)
-    return base.select("node", "doc_id", "n_shingles", "digest"), named
+    slim = materialise(base.drop("signature"), "classes")
+    discard(base)
+    return slim, named
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -54,8 +54,9 @@ CANDIDATES = {"token": TOKEN, "spaced": SPACED, "lettered": LETTERED, "address":
 SUPPORT, INSTANCES, CONFIDENCE, ACCEPT = 5, 3, 0.5, 0.7
 #: Words of a pattern at most.
 GRAM = 3
-#: Patterns that are sent to all tasks; more of them meet the corpus in a join.
-SENT = 100_000
+#: Patterns that are sent to all tasks, more of them meet the corpus in a join; and last words of patterns that texts are
+#: searched for before anything leaves a row, with more of them all runs of words do.
+SENT, ENDINGS = 100_000, 1000
 #: Characters beside a match in which its words are looked for first.
 _CONTEXT = 60
 #: What a text must have for a pattern to match anywhere.
@@ -160,20 +161,29 @@ def edges(tokens: DataFrame) -> DataFrame:
 
 def counted(supported: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(gram, all): occurrences in the corpus of the patterns ``supported`` (gram, length).  Written."""
-    few = supported.count() <= SENT
-    lengths = sorted(r.length for r in supported.select("length").distinct().collect())  # GRAM at most
+    n = supported.count()
+    ends = supported.select("length", F.substring_index("gram", " ", -1).alias("word")).distinct().limit(ENDINGS + 1).collect()
+    lengths = [r.length for r in supported.select("length").distinct().collect()]  # GRAM at most
+    w = F.col("w")
+
+    def ending(length: int) -> Column:
+        """Runs of so many words that end as a pattern does."""
+        words = [r.word for r in ends if r.length == length]
+        if length == 1:
+            return F.filter(w, lambda x: x.isin(*words))
+        last = F.filter(F.sequence(F.lit(length), F.size(w)), lambda i: F.element_at(w, i).isin(*words))
+        return F.when(F.size(w) >= length, F.transform(last, lambda i: F.array_join(F.slice(w, i - (length - 1), F.lit(length)), " ")))
+
+    runs = [ending(k) if len(ends) <= ENDINGS else _grams(w, k) for k in lengths]
     words = docs.select(_words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("w"))
-    out = supported.select("gram").limit(0).withColumn("all", F.lit(0).cast("long"))
-    for n in lengths:
-        wanted, found = supported.where(F.col("length") == n).select("gram"), words.select(F.explode(_grams(F.col("w"), n)).alias("gram"))
-        if few:
-            found = found.join(F.broadcast(wanted), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("all"))
-            # Else the optimiser sums first, which shuffles every word of the corpus.
-        else:
-            sums = materialise(found.groupBy("gram").agg(F.count(F.lit(1)).alias("all")), "pii-sums")
-            found = sums.join(wanted.hint("merge"), "gram", "left_semi")
-        out = out.union(found)
-    return materialise(out, "pii-words", supported.count())
+    none = F.array().cast("array<string>")
+    found = words.select(F.explode(F.concat(none, *(F.coalesce(x, none) for x in runs))).alias("gram"))
+    count = F.count(F.lit(1)).alias("all")
+    if n <= SENT:
+        found = found.join(F.broadcast(supported.select("gram")), "gram", "left_semi").groupBy("gram").agg(count)
+    else:  # summed and written first; else the optimiser moves the join below the sum, which shuffles every word
+        found = materialise(found.groupBy("gram").agg(count), "pii-sums").join(supported.select("gram").hint("merge"), "gram", "left_semi")
+    return materialise(found, "pii-words", n)
 
 
 def discovered(tokens: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -187,7 +197,7 @@ def discovered(tokens: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
     counts = counted(supported, docs, text)
     some = materialise(graph.join(counts.hint("merge"), "gram"), "pii-graph", most, 64)
     seeds = graph.where("seed").select("kind", "text").distinct()
-    known, accepted = seeds, spark.createDataFrame([], "kind string, text string")
+    known, accepted, rounds = seeds, spark.createDataFrame([], "kind string, text string"), []
     while True:  # what is accepted stays: more known identifiers never lower a score, and every round but the last one adds some
         held = some.join(known, ["kind", "text"], "left_semi").groupBy("side", "gram", "kind", "all").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("instances"))
         patterns = held.where((F.col("hits") >= SUPPORT) & (F.col("instances") >= INSTANCES)).select("side", "gram", "kind", F.least(F.col("hits") / F.col("all"), F.lit(0.999)).alias("confidence"))
@@ -196,30 +206,33 @@ def discovered(tokens: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
         sides = some.where("NOT seed").join(patterns, ["side", "gram", "kind"]).groupBy("kind", "text", "side").agg(F.max("confidence").alias("confidence"))
         scored = sides.groupBy("kind", "text").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         new = materialise(scored.where(F.col("score") >= ACCEPT).select("kind", "text").join(accepted, ["kind", "text"], "left_anti"), "pii-accepted", most)
+        rounds.append(new)
         if not new.limit(1).count():
             break
         accepted = accepted.union(new)
         known = seeds.union(accepted)
     out = materialise(accepted, "pii-discovered", most)
-    discard(graph, supported, counts, some)
+    discard(graph, supported, counts, some, *rounds)
     return out
 
 
 _NONE = "cast(array() as array<struct<rank:int,start:int,end:int>>)"
 
 
-def spans(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The rows of docs without any match and those with, both with columns ``keep``, base and spans: arrays of (rank of kind,
-    start, end) in order."""
+    start, end) in order.  Last the written tables that both read."""
     rows, found = scanned(docs, keep, text)
-    accepted = discovered(found, docs, text).withColumn("accepted", F.lit(True))
+    new = discovered(found, docs, text)
+    accepted = new.withColumn("accepted", F.lit(True))
     rank = (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int")
     span = F.struct(rank.alias("rank"), "start", "end")
     known = found.join(accepted, ["kind", "text"], "left").where("base OR accepted")
     by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
     kept, none = [F.col(f"`{c}`") for c in keep], F.expr(_NONE)
     plain = rows.where("NOT matched").select(*kept, none.alias("base"), none.alias("spans"))
-    return plain, rows.where("matched").join(by_row.hint("merge"), "row", "left").select(*kept, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    matched = rows.where("matched").join(by_row.hint("merge"), "row", "left").select(*kept, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    return plain, matched, [rows, found, new]
 
 
 def listed(spans: Column) -> Column:
@@ -230,14 +243,17 @@ def listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts of base spans by kind, their digest and all spans of every document."""
     n = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    plain, matched = spans(docs, ["doc_id"])
-    return plain.union(matched).select("doc_id", *map(n, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    plain, matched, read = spans(docs, ["doc_id"])
+    out = plain.union(matched).select("doc_id", *map(n, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    out = materialise(out, "pii-report")
+    discard(*read)
+    return out
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of a text replaced by its kind in brackets; overlapping spans become one of the first's kind."""
     frame, name, columns = hidden(docs)
-    plain, matched = spans(frame, frame.columns, name)
+    plain, matched, _ = spans(frame, frame.columns, name)
     text = F.col(name)
 
     def step(acc: Column, s: Column) -> Column:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from corvello.llm import pii
 
 KINDS = {
@@ -126,8 +128,10 @@ def test_hidden_seeds_are_found_again(spark):
     assert len(hidden) > 40 and len(got & hidden) >= 0.95 * len(hidden)
 
 
-def test_long_context_words_and_many_patterns(spark, monkeypatch):
-    monkeypatch.setattr(pii, "SENT", 0)
+@pytest.mark.parametrize(("sent", "endings"), [(0, 0), (0, 1000), (10**5, 0)])
+def test_long_context_words_and_many_patterns(spark, monkeypatch, sent, endings):
+    monkeypatch.setattr(pii, "SENT", sent)
+    monkeypatch.setattr(pii, "ENDINGS", endings)
     long = "dial" + "x" * 200
     rows = [(i, f"words here {long} +1 {200 + i} 555 {1000 + i} now") for i in range(30)] + [(100, f"so {long} 415-555-2671"), (101, f"so q{long} 415-555-9999")]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -30,6 +30,31 @@ def test_stages(spark):
     assert all(groups[i].kept for i in kept["near_dedup"] if i in groups)
 
 
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score string, n_hit int, longest_start int, row int, node int, base int, spans int, kept int, component_id int, length int, piece int, __row int, __0 int"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    more = ("p", "q", *range(1, 13))
+    texts = [None, "", "some words that are here", "mail a@b.co or call +1 234 567 890 12 now", "mail a@b.co or call +1 234 567 890 12 now", "word " * 40_000]
+    rows = [(k if k else None, t, "en", "s", 1, *more) for k, t in enumerate(texts)]
+    for given in ([], rows):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialise(stage(spark, docs, SF), name)
+            assert docs.columns == columns, name
+            assert all(tuple(r)[5:] == more for r in docs.collect()), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == (0 if not given else sum(-(-n // 2048) for n in _lengths(docs)))
+    assert sorted(r.text[:30] for r in docs.collect()) == ["mail [EMAIL] or call [PHONE] n", "some words that are here", ("word " * 6)]
+
+
+def _lengths(docs):
+    from tokenizers import Tokenizer
+
+    from corvello.llm import queries
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    return [len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()]
+
+
 def test_library_stands_without_the_subpackage(tmp_path):
     for name in ("corvello", "__spark_entry__.py"):
         (tmp_path / name).symlink_to(ROOT / name)
