@@ -37,8 +37,9 @@ FILE_BYTES = 16 << 20
 def materialise(df: DataFrame, name: str, rows: int | None = None, width: int = 32) -> DataFrame:
     """Write a frame below the shared folder and read it again.
 
-    rows: the most that it can have, of about ``width`` bytes each.  A table that is small for its number of shuffle
-    partitions is then written by as few tasks as its size needs; else every partition leaves a file or two.
+    rows: the most that it can have, of about ``width`` bytes each, also counting what the tasks that write them read.  A
+    table that is small for its number of shuffle partitions is then written by as few tasks as its size needs; else every
+    partition leaves a file or two.
     """
     path = shared_dir(df.sparkSession, name)
     if rows is not None:
