@@ -250,13 +250,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     n = edges.count()
     if not n:
         return materialise(edges.toDF("node", "component"), name, 1)
-    stars, before = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name, n, 16), None
+    stars, before = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name, n), None
     while True:
         limit = 2 * max(1000, -(-n // HOT_SHARE))
         both = stars.union(stars.select("v", "u").toDF("u", "v"))
         large = with_least(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
         joined = with_least(large, limit)
-        after = materialise(joined.select("u", F.col("m").alias("v")).union(joined.where("v > m").select("v", "m")).distinct(), name, 2 * n, 16)
+        after = materialise(joined.select("u", F.col("m").alias("v")).union(joined.where("v > m").select("v", "m")).distinct(), name, 2 * n)
         sums = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         discard(stars)
         stars = after
@@ -274,7 +274,7 @@ def roots(links: DataFrame, n: int) -> DataFrame:
     found = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "roots", n, 16)
     while True:
         above = found.select(F.col("node").alias("component"), F.col("component").alias("next")).hint("merge")
-        after = materialise(found.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), "roots", n, 16)
+        after = materialise(found.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), "roots", n)
         discard(found)
         found = after.select("node", "component")
         found.corvello_path = after.corvello_path
@@ -300,7 +300,7 @@ def _led(posts: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     best = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("lists")).groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
     side = lambda n: signatures.select(F.col("node").alias(n), F.col("n_shingles").alias(f"{n}_size"), F.col("signature").alias(f"{n}_signature")).hint("merge")
     both = best.join(side("b"), "b").join(side("a"), "a")
-    pairs = materialise(both.where(_alike(F.col("a_size"), F.col("b_size")) & (collisions(F.col("a_signature"), F.col("b_signature")) >= MATCHES)).select("a", "b"), "pairs", n)
+    pairs = materialise(both.where(_alike(F.col("a_size"), F.col("b_size")) & (collisions(F.col("a_signature"), F.col("b_signature")) >= MATCHES)).select("a", "b"), "pairs", n, 16 * COORDINATES)  # the tasks that write these read two signatures for each
     discard(leaders)
     return pairs
 
@@ -357,14 +357,14 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     clusters = _clusters(posts, found, n)
     more = _across(clusters, signatures, texts, n)
     named = more.join(found.toDF("a", "ca").hint("merge"), "a", "left").join(found.toDF("b", "cb").hint("merge"), "b", "left")
-    named = materialise(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "between", more.count(), 16)
+    named = materialise(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "between", more.count() + 2 * n, 16)
     upper = components(named)
     discard(named)
 
     linked = sets.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")).join(upper.toDF("component", "to").hint("merge"), "component", "left")
-    linked = materialise(linked.select("digest", "least", F.coalesce("to", "component").alias("component")), "linked", n)
+    linked = materialise(linked.select("digest", "least", F.coalesce("to", "component").alias("component")), "linked", n, 64)
     least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least", n, 16)
-    named = materialise(linked.join(least.hint("merge"), "component").select("digest", "component_id"), "component-ids", n)
+    named = materialise(linked.join(least.hint("merge"), "component").select("digest", "component_id"), "component-ids", n, 64)
     discard(sets, signatures, posts, texts, pairs, links, found, clusters, more, upper, linked, least)
     slim = materialise(base.drop("signature"), "classes")
     discard(base)

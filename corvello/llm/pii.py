@@ -183,7 +183,7 @@ def counted(supported: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         found = found.join(F.broadcast(supported.select("gram")), "gram", "left_semi").groupBy("gram").agg(count)
     else:  # summed and written first; else the optimiser moves the join below the sum, which shuffles every word
         found = materialise(found.groupBy("gram").agg(count), "pii-sums").join(supported.select("gram").hint("merge"), "gram", "left_semi")
-    return materialise(found, "pii-words", n)
+    return materialise(found, "pii-words")
 
 
 def discovered(tokens: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
