@@ -141,7 +141,6 @@ def test_packing_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     rows = [(r["doc_id"], r["text"]) for r in documents] + [(9001, None), (9002, ""), (9003, "\x1c odd space <|endoftext|> don't İ"), (9004, "long words " * 6000), (9004, "long words " * 6000), (9005, "a<|startoftext|>b <|endoftext|><|endoftext|> x <|ENDOFTEXT|>"), (None, "x")]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS length"), queries.tokenizer_path()).collect()
     want = []
